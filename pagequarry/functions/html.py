@@ -23,6 +23,7 @@ _ENDS = {
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr", "td", "th"}, {"table"}),
     "thead": ({"thead", "tbody", "tfoot"}, {"table"}), "tbody": ({"thead", "tbody", "tfoot"}, {"table"}), "tfoot": ({"thead", "tbody", "tfoot"}, {"table"}),
 }
+_TABLE_ENDS = frozenset("body html table tbody td tfoot th thead tr".split())
 _HIDDEN = frozenset(("script", "style", "template"))
 _SPACE = re.compile(r"\s+")
 
@@ -107,13 +108,13 @@ class _Builder(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         n = self.at
-        while n.parent is not None:
+        while n.parent is not None and not (n.tag in ("table", "td", "th") and tag not in _TABLE_ENDS):
             if n.tag == tag:
                 self.at = n.parent
                 return
-            if n.tag in ("table", "td", "th") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "td", "th", "body", "html"):
-                return
             n = n.parent
+        if tag == "p":  # an end without a beginning stands for an empty paragraph
+            self.at.children.append(Node("p", {}, self.at))
 
     def handle_data(self, data: str) -> None:
         kids = self.at.children
