@@ -35,8 +35,8 @@ DIM = 4
 SIZES = (3, 4, 5)
 MIN_DOCS = 4
 PRIOR = 60
-SAMPLE_ROWS = 8000
-THRESHOLD = 0.5
+SAMPLE_ROWS = 6000
+THRESHOLD = 0.8
 EPOCHS = 10
 LEAST_STEPS = 150
 LEARNING_RATE = 0.15
@@ -98,32 +98,31 @@ def ngram_ids(cp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield pos, ((g ^ (g >> np.uint32(16))) & np.uint32(BUCKETS - 1)).astype(np.int32)
 
 
-def _bags(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """CSR rows of relative bucket frequencies."""
-    indptr, cols, vals = [0], [], []
-    for t in texts:
-        cp, _ = code_points([t])
-        ids = np.concatenate([b for _, b in ngram_ids(cp)])
-        u, c = np.unique(ids, return_counts=True)
-        cols.append(u)
-        vals.append(c / (len(ids) + PRIOR))
-        indptr.append(indptr[-1] + len(u))
-    return np.array(indptr), np.concatenate(cols) if cols else np.zeros(0, np.int32), np.concatenate(vals).astype(np.float32) if vals else np.zeros(0, np.float32)
+def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, shares) of a text's n-grams."""
+    cp, _ = code_points([text])
+    ids = np.concatenate([b for _, b in ngram_ids(cp)])
+    u, c = np.unique(ids, return_counts=True)
+    return u.astype(np.int32), (c / (len(ids) + PRIOR)).astype(np.float32)
 
 
-def train(texts: list[str | None], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7, lr: float = LEARNING_RATE) -> tuple[np.ndarray, float]:
-    """Fit embeddings and softmax jointly; return each bucket's logit and the bias."""
+def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7, lr: float = LEARNING_RATE) -> tuple[np.ndarray, float]:
+    """Fit embeddings and softmax jointly; return each bucket's logit and the bias. Empties ``bags``."""
     labels = np.asarray(labels, np.int64)
+    nothing = np.zeros(BUCKETS, np.float32), -np.inf
     if len(np.unique(labels)) < 2:
-        return np.zeros(BUCKETS, np.float32), -np.inf
-    indptr, cols, vals = _bags(texts)
-    docs_with = np.bincount(cols, minlength=BUCKETS)
-    keep = docs_with[cols] >= MIN_DOCS
-    indptr = np.concatenate([[0], np.cumsum(keep)])[indptr]
-    cols, vals = cols[keep], vals[keep]
-    used, cols = np.unique(cols, return_inverse=True)
+        return nothing
+    size = np.array([len(u) for u, _ in bags])
+    cols, vals = (np.concatenate([x[k] for x in bags]) for k in (0, 1))
+    bags.clear()
+    keep = np.bincount(cols, minlength=BUCKETS) >= MIN_DOCS
+    used = np.flatnonzero(keep)
     if not len(used):
-        return np.zeros(BUCKETS, np.float32), -np.inf
+        return nothing
+    kept = keep[cols]
+    indptr = np.concatenate([[0], np.cumsum(kept, dtype=np.int64)])[np.concatenate([[0], np.cumsum(size)])]
+    cols, vals = (np.cumsum(keep, dtype=np.int32) - 1)[cols[kept]], vals[kept]
+    del kept
     rng = np.random.default_rng(seed)
     E = rng.normal(0, 0.1, (len(used), DIM)).astype(np.float32)
     W = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32)
@@ -180,16 +179,28 @@ def score(texts: list[str | None], table: np.ndarray, bias: float) -> np.ndarray
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, rows: int) -> DataFrame:
-    """(text, y) of at most ``rows`` labelled documents, chosen by a hash of the id."""
+    """(id, text, y) of at most ``rows`` labelled documents, chosen by a hash of the id."""
     y = labels.where(F.col("doc_id").isNotNull() & F.col(target).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(target).cast("int").alias("y"))
     chosen = y.orderBy(F.xxhash64("id"), "id").limit(rows)  # bounded, so it may be broadcast
     picked = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null and text is not null")
-    return picked.join(F.broadcast(chosen), "id").dropDuplicates(["id"]).select("id", "text", "y")
+    return picked.join(F.broadcast(chosen), "id")
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, float]:
-    rows = sorted(labelled_sample(docs, labels, "toxic", sample_rows).collect())
-    return train([r.text for r in rows], np.array([r.y for r in rows], np.int64))
+    """The model of the labelled sample; n-grams are counted on the executors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in chunks(b, "text"):
+                bags = [bag(t) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("y"), *(pa.array([x[k].tobytes() for x in bags], pa.binary()) for k in (0, 1))], ["id", "y", "u", "v"])
+
+    found = labelled_sample(docs, labels, "toxic", sample_rows).mapInArrow(run, "id long, y int, u binary, v binary")
+    rows = sorted(found.dropDuplicates(["id"]).collect(), key=lambda r: r.id)
+    y = np.array([r.y for r in rows], np.int64)
+    bags = [(np.frombuffer(r.u, np.int32), np.frombuffer(r.v, np.float32)) for r in rows]
+    del rows
+    return train(bags, y)
 
 
 def with_toxicity(docs: DataFrame, model: tuple[np.ndarray, float], column: str) -> DataFrame:
