@@ -21,8 +21,6 @@ whole; an empty table gives an empty result; other columns are untouched.
 
 from __future__ import annotations
 
-
-
 import zlib
 
 import numpy as np
@@ -45,12 +43,13 @@ def flight(p: np.ndarray, tokens: np.ndarray, seed: int) -> np.ndarray:
     of its rows.
     """
     rng = np.random.default_rng(seed)
-    p = np.clip(np.asarray(p, float), 0.0, 1.0)
+    p = np.asarray(p, float)
+    p = np.where(p <= _EPS, 0.0, np.where(p >= 1 - _EPS, 1.0, p))  # what lies this close is decided
     draws = iter(rng.random(len(p) + 8).tolist())
     live: list[int] = []
     out = p.tolist()
     w = np.asarray(tokens, float).tolist()
-    for i in np.flatnonzero((p > _EPS) & (p < 1 - _EPS)).tolist():
+    for i in np.flatnonzero((p > 0) & (p < 1)).tolist():
         live.append(i)
         if len(live) < 3:
             continue
