@@ -55,6 +55,13 @@ def build_shard(ids: np.ndarray, x: np.ndarray) -> dict[str, object]:
     return {"dim": d, "ids": ids[met].tobytes(), "vectors": x[met].tobytes(), "upto": upto.astype(np.int64).tobytes(), "low": low.tobytes(), "high": high.tobytes()}
 
 
+def six_decimals(x: np.ndarray) -> np.ndarray:
+    """Rounded to 6 decimals, halves of the binary product away from zero."""
+    y = x * 1e6
+    whole = np.trunc(y)
+    return (whole + np.where(np.abs(y - whole) >= 0.5, np.sign(y), 0.0)) / 1e6
+
+
 class Best:
     """The k best (score, id) of each query so far."""
 
@@ -160,11 +167,11 @@ def nearest(vectors: DataFrame, k: int = K) -> DataFrame:
                         for shard in shards.to_pylist():
                             search(best, q, own, shard)
                 r, c = np.nonzero(best.score > -np.inf)
-                yield pa.RecordBatch.from_arrays([pa.array(own[r]), pa.array(best.id[r, c]), pa.array((c + 1).astype(np.int32)), pa.array(best.score[r, c])], ["vec_id", "neighbour_id", "rank", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(own[r]), pa.array(best.id[r, c]), pa.array((c + 1).astype(np.int32)), pa.array(six_decimals(best.score[r, c]))], ["vec_id", "neighbour_id", "rank", "score"])
 
     n = rows.count()
     queries = rows.repartition(max(1, -(-n // _QUERIES)), "id")
-    return queries.mapInArrow(run, "vec_id long, neighbour_id long, rank int, score double").withColumn("score", F.round("score", 6))
+    return queries.mapInArrow(run, "vec_id long, neighbour_id long, rank int, score double")
 
 
 ORACLE = f"""
