@@ -50,8 +50,11 @@ def test_toxicity_learns_and_generalises_to_misspellings(spark):
     odd = docs(spark, [(None, None, None), (1, "", "s"), (1, "", "s"), (2, "?!", None), (3, "idiot moron " * 200_000, "s")])
     got = toxicity.with_toxicity(odd, model, "score").collect()
     assert [r.score for r in got[:4]] == [0.0] * 4 and got[4].score > 0.9
-    assert toxicity.drop_toxic(odd, lab).columns == odd.columns and toxicity.drop_toxic(odd, lab).count() == 4
-    assert [r.doc_id for r in toxicity.toxic_documents(odd, lab).collect()] == [3]
+    # the labels of odd itself are of one class, so nothing goes; with the labelled documents beside them the model rejects one
+    assert toxicity.drop_toxic(odd, lab).columns == odd.columns and toxicity.drop_toxic(odd, lab).count() == 5
+    both, unknown = d.where("doc_id > 3").unionByName(odd), lab.where("doc_id != 3")
+    assert sorted((r.doc_id is not None, r.doc_id or 0) for r in toxicity.drop_toxic(both, unknown).where("doc_id is null or doc_id < 4").collect()) == [(False, 0), (True, 1), (True, 1), (True, 2)]
+    assert 3 in [r.doc_id for r in toxicity.toxic_documents(both, unknown).collect()]
     assert toxicity.toxic_documents(odd.limit(0), lab.limit(0)).count() == 0
     assert toxicity.drop_toxic(d, lab.where("toxic = 0")).count() == 400  # one class: nothing is rejected
 
