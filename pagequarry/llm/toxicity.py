@@ -23,11 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as pads
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .shared import added
+from .shared import added, local_files, new_path
 from .textkernel import chunks
 
 BUCKETS = 1 << 17
@@ -42,6 +43,7 @@ LEAST_STEPS = 150
 LEARNING_RATE = 0.15
 _M = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], np.uint32)
 _SPACE = np.uint32(32)
+_BAGS = pa.schema([("id", pa.int64()), ("u", pa.binary()), ("v", pa.binary()), ("y", pa.int32())])
 
 
 def code_points(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -187,7 +189,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, rows: int)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, float]:
-    """The model of the labelled sample; n-grams are counted on the executors."""
+    """The model of the labelled sample; n-grams are counted on the executors.
+
+    The bags reach the driver as a table of the shared folder, a few rows at a time.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -196,11 +201,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> t
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("y"), *(pa.array([x[k].tobytes() for x in bags], pa.binary()) for k in (0, 1))], ["id", "y", "u", "v"])
 
     found = labelled_sample(docs, labels, "toxic", sample_rows).mapInArrow(run, "id long, y int, u binary, v binary")
-    rows = sorted(found.dropDuplicates(["id"]).collect(), key=lambda r: r.id)
-    y = np.array([r.y for r in rows], np.int64)
-    bags = [(np.frombuffer(r.u, np.int32), np.frombuffer(r.v, np.float32)) for r in rows]
-    del rows
-    return train(bags, y)
+    one = found.groupBy("id").agg(F.min(F.struct("u", "v", "y")).alias("b")).select("id", "b.*")  # of rows that share an id the least bag
+    path = new_path(docs.sparkSession, "labelled-bags")
+    one.write.parquet(path)
+    fs, where = local_files(path)
+    ids, labelled, bags = [], [], []
+    for b in pads.dataset(where, filesystem=fs, schema=_BAGS, format="parquet").to_batches(batch_size=64):
+        ids += b.column("id").to_pylist()
+        labelled += b.column("y").to_pylist()
+        bags += [(np.frombuffer(u, np.int32), np.frombuffer(v, np.float32)) for u, v in zip(b.column("u").to_pylist(), b.column("v").to_pylist())]
+    order = np.argsort(ids, kind="stable").tolist()
+    return train([bags[i] for i in order], np.array([labelled[i] for i in order], np.int64))
 
 
 def with_toxicity(docs: DataFrame, model: tuple[np.ndarray, float], column: str) -> DataFrame:
