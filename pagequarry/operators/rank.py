@@ -53,7 +53,7 @@ def bm25(pages: DataFrame, query: str, column: str = "bm25", text: str = "text")
     stats = corpus_statistics(toks, "__tokens")
     wanted = toks.select(*[F.count_if(F.array_contains("__tokens", t)).alias(f"__df{i}") for i, t in enumerate(terms)])
     stats = stats.crossJoin(F.broadcast(wanted)).select(*[F.col(c).alias(c if c.startswith("__") else f"__{c}") for c in [*stats.columns, *wanted.columns]])
-    length = F.size("__tokens") / F.col("__avgdl")
+    length = F.try_divide(F.size("__tokens"), F.col("__avgdl"))  # null where no page has a token
     total = F.lit(0.0)
     for i, (t, times) in enumerate(terms.items()):
         df = F.col(f"__df{i}")
@@ -78,7 +78,14 @@ def keyword_score(pages: DataFrame, query: str, text: str = "text") -> DataFrame
 
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    size = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    return F.when(size == 0, 0.0).otherwise(dot(a, b) / size)
+
+
+def rounded(x: Column, decimals: int) -> Column:
+    """To so many decimals, halves of the binary product away from zero."""
+    m = 10.0**decimals
+    return F.signum(x) * F.floor(F.abs(x) * m + 0.5) / m
 
 
 def max_pool(rows: DataFrame, key: str, vector: str) -> DataFrame:
@@ -121,7 +128,7 @@ def check_rank_arguments(query: str, mode: str, semantic_weight: float) -> None:
 
 def blend(rows: DataFrame, mode: str = "both", semantic_weight: float = 0.5) -> DataFrame:
     k, s = F.col("keyword_score"), F.col("semantic_score")
-    score = {"keyword": k, "semantic": s, "both": F.round((1.0 - semantic_weight) * k + semantic_weight * s, 6)}[mode]
+    score = {"keyword": k, "semantic": s, "both": rounded((1.0 - semantic_weight) * k + semantic_weight * s, 6)}[mode]
     return rows.withColumn("relevance_score", score)
 
 

@@ -394,7 +394,7 @@ def rank_blend(spark, sf):
     k = rank.keyword_score(_t(spark, sf, "documents").select("doc_id", "text"), QUERY).select("doc_id", "keyword_score")
     s = rank.minmax(_cosines(spark, sf), "cos", "semantic_score").select("vec_id", F.round("semantic_score", 6).alias("semantic_score"))
     both = rank.blend(k.join(s, F.col("doc_id") == F.col("vec_id")), "both", 0.3)
-    return both.select("doc_id", F.round("relevance_score", 5).alias("relevance_score"))
+    return both.select("doc_id", rank.rounded(F.col("relevance_score"), 5).alias("relevance_score"))
 
 
 @_query(f"""
