@@ -82,9 +82,9 @@ def pages(spark, path, rows):
 
 def test_rank_stream(spark, tmp_path):
     path = str(tmp_path / "in")
-    pages(spark, path, [(0, "u", "<p>fox fox</p>", None), (1, "v", "<p>dog</p>", None), (2, "w", None, "bad")])
+    pages(spark, path, [(0, "u", "<p>fox fox</p>", None), (1, "v", "<p>dog</p>", None), (2, "w", None, "bad"), (3, "x", "<p>cat</p>", None)])  # in one of two pages a word's idf is 0
     schema = spark.read.parquet(path).schema
-    for corpus, want in (("page", {"u": 0.0, "v": 0.0}), ("batch", {"u": 1.0, "v": 0.0})):
+    for corpus, want in (("page", {"u": 0.0, "v": 0.0, "x": 0.0}), ("batch", {"u": 1.0, "v": 0.0, "x": 0.0})):
         got = []
         q = stream.rank_stream(stream.read_pages(spark, path, schema), "fox", lambda df, i, got=got: got.extend(df.collect()), str(tmp_path / corpus), corpus, "keyword")
         q.awaitTermination()
