@@ -211,7 +211,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> t
         labelled += b.column("y").to_pylist()
         bags += [(np.frombuffer(u, np.int32), np.frombuffer(v, np.float32)) for u, v in zip(b.column("u").to_pylist(), b.column("v").to_pylist())]
     order = np.argsort(ids, kind="stable").tolist()
-    return train([bags[i] for i in order], np.array([labelled[i] for i in order], np.int64))
+    bags = [bags[i] for i in order]  # the one list that holds them: train empties it
+    return train(bags, np.array([labelled[i] for i in order], np.int64))
 
 
 def with_toxicity(docs: DataFrame, model: tuple[np.ndarray, float], column: str) -> DataFrame:
