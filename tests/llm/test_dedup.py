@@ -100,6 +100,26 @@ def test_ngram_join_recall_and_precision(spark):
     assert set(got) <= expected and len(got) >= 0.95 * len(expected)
 
 
+def test_all_pairs_has_members_of_equal_sets(spark):
+    base = [f"w{i}" for i in range(30)]
+    text, near = " ".join(base), " ".join([*base[:-1], "other"])
+    rows = near_rows(5, 15) + [(i, text) for i in (8000, 8001, 8005)] + [(i, near) for i in (8002, 8003)] + [(8004, "a b"), (8006, "A, b")]
+    sets = {i: gram_set(t) for i, t in rows}
+    ids = sorted(sets)
+    want = {}
+    for x, a in enumerate(ids):
+        for b in ids[x + 1 :]:
+            s = len(sets[a] & sets[b])
+            if (j := s / (len(sets[a]) + len(sets[b]) - s)) >= 0.5:
+                want[a, b] = j
+    got = [tuple(r) for r in ngram_join.all_jaccard_pairs(docs(spark, rows)).collect()]
+    assert len({(a, b) for a, b, _ in got}) == len(got)
+    assert all(abs(want[a, b] - j) < 1e-12 for a, b, j in got) and len(got) >= 0.95 * len(want)
+    planted = {(a, b) for a, b in want if a >= 8000}
+    assert len(planted) == 11 and planted <= {(a, b) for a, b, _ in got}
+    assert ngram_join.all_jaccard_pairs(docs(spark, rows).limit(0)).count() == 0
+
+
 def test_ngram_join_repeated_ids_and_nothing(spark):
     rows = [(1, "one two three four"), (1, "one two three four five six"), (2, "one two three four five six")]
     assert [(r.doc_a, r.doc_b, r.jaccard) for r in ngram_join.jaccard_pairs(docs(spark, rows)).collect()] == [(1, 2, 1.0)]
