@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -21,7 +22,7 @@ PageSource = Callable[[DataFrame], DataFrame]
 @dataclass
 class CrawlLimits:
     depth: int = 2
-    max_pages: int = 100
+    max_pages: int | None = 100  # None: no cap
     max_pages_per_domain: int = 50
     follow_external: bool = False
     paginate: bool = True
@@ -67,18 +68,19 @@ def expand(kept: DataFrame, seen: DataFrame, prior: DataFrame | None, limits: Cr
     return first.select(F.row_number().over(Window.orderBy("ord", "pos")).cast("long").alias("ord"), "url", "depth", "page_num")
 
 
-def deep_crawl(spark: SparkSession, urls: list[str], source: PageSource, limits: CrawlLimits | None = None, progress=None) -> DataFrame:
-    """Kept pages in crawl order: ord, url, parsed columns, depth, page_num."""
+def deep_crawl(spark: SparkSession, urls: list[str] | DataFrame, source: PageSource, limits: CrawlLimits | None = None, progress=None) -> DataFrame:
+    """Kept pages in crawl order: ord, url, parsed columns, depth, page_num. ``urls``: seeds, or a table of them (ord, url) with unique ord."""
     limits = limits or CrawlLimits()
-    bad = [u for u in urls if not u.lower().startswith(("http:", "https:"))]
+    most = math.inf if limits.max_pages is None else limits.max_pages
+    seeds = urls if isinstance(urls, DataFrame) else spark.createDataFrame(list(enumerate(urls)), "ord long, url string")
+    bad = seeds.where(F.coalesce(~F.lower("url").rlike("^https?:"), F.lit(True))).select("url").take(1)
     if bad:
-        raise ValueError(f"not an http or https url: {bad[0]!r}")
-    frontier = spark.createDataFrame([(i, u, 0, 1) for i, u in enumerate(urls)], "ord long, url string, depth int, page_num int").withColumn("url", normalize(F.col("url")))
-    frontier = staged(frontier, "frontier")
+        raise ValueError(f"not an http or https url: {bad[0].url!r}")
+    frontier = staged(seeds.select(F.col("ord").cast("long").alias("ord"), normalize(F.col("url")).alias("url"), F.lit(0).alias("depth"), F.lit(1).alias("page_num")), "frontier")
     state, seen, counts, results, n = SeenState(limits.similarity_threshold), frontier.select("url").distinct(), None, [], 0
     if progress:
-        progress.start(len(urls))
-    while n < limits.max_pages and not frontier.isEmpty():
+        progress.start(frontier.count())
+    while n < most and not frontier.isEmpty():
         asked = frontier.select(F.col("ord").alias("__ord"), F.col("url").alias("requested"), "depth", "page_num")
         raw = source(frontier.select("ord", "url"))
         raw = raw.where((F.coalesce("error", F.lit("")) == "") & (F.coalesce("html", F.lit("")) != "")).select("ord", "url", "html")
@@ -87,13 +89,13 @@ def deep_crawl(spark: SparkSession, urls: list[str], source: PageSource, limits:
         old = state.content_duplicates(wave).withColumnRenamed("id", "__dup")
         fresh = wave.join(old, F.col("ord") == F.col("__dup"), "left_anti")
         unique = filter_duplicates(staged(fresh.withColumnRenamed("url", "final_url"), "fresh"), "ord", limits.similarity_threshold).withColumnRenamed("final_url", "url")
-        kept = staged(unique.orderBy("ord").limit(limits.max_pages - n), "kept")
+        kept = staged(unique if limits.max_pages is None else unique.orderBy("ord").limit(limits.max_pages - n), "kept")
         state.register(kept)
         results.append(kept.withColumn("__wave", F.lit(len(results))))
         n += kept.count()
         if progress:
             progress.fetched_many(kept.count())
-        if n >= limits.max_pages:
+        if n >= most:
             break
         frontier = staged(expand(kept, seen, counts, limits), "frontier")
         seen = staged(seen.unionByName(frontier.select("url")).unionByName(kept.select("url")).distinct(), "seen")

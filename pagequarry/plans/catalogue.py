@@ -462,8 +462,8 @@ def expand_links(spark, sf):
 def deep_crawl(spark, sf):
     raw = providers.snapshot(spark, f"{sf}/pages.parquet").withColumn("url", U.normalize(F.col("url")))
     raw = staged(dedup.first_of_each_url(raw, "ord"), "site")
-    seeds = [r.url for r in raw.orderBy("ord").limit(100).select("url").collect()]  # max_pages is the feature's own bound
-    pages = crawl.deep_crawl(spark, seeds, providers.snapshot_source(raw), crawl.CrawlLimits(depth=1, max_pages=100))
+    seeds = raw.where(U.is_valid(F.col("url"))).select(F.row_number().over(Window.orderBy("ord", "url")).alias("ord"), "url")
+    pages = crawl.deep_crawl(spark, seeds, providers.snapshot_source(raw), crawl.CrawlLimits(depth=1, max_pages=None, max_pages_per_domain=2147483647))
     return pages.select("ord", "url", "title", "depth", "page_num")
 
 

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from pagequarry.operators import dedup as D
 from pagequarry.operators.crawl import CrawlLimits, deep_crawl
+from pagequarry.plans import catalogue
+from pagequarry.sources import providers
 
 
 def shingle_set(text, n=8):
@@ -127,3 +129,63 @@ def test_bad_seed_raises(spark):
     with pytest.raises(ValueError):
         deep_crawl(spark, ["ftp://a/"], site({}))
     assert deep_crawl(spark, ["http://none/"], site({})).count() == 0
+
+
+def brute_crawl(pages, seeds, depth=1, most_pagination=5):
+    """(url, depth, page_num) kept by a wave crawl of {url: (text, links)} without caps, within the seeds' hosts."""
+    kept, seen, wave = [], set(seeds), [(u, 0, 1) for u in seeds]
+    texts = []
+    while wave:
+        took = []
+        for u, d, n in wave:
+            s = shingle_set(pages[u][0]) if u in pages else set()
+            if s and not any(len(s & z) / len(s | z) >= 0.85 for z in texts):
+                texts.append(s)
+                took.append((u, d, n))
+        kept += took
+        wave = []
+        for u, d, n in took:
+            host = u.split("/")[2]
+            found = [(x, d + 1, 1) for x in pages[u][1] if d < depth and x.split("/")[2] == host]
+            if f"page={n}" in u and n < most_pagination:
+                found.append((u.replace(f"page={n}", f"page={n + 1}"), d, n + 1))
+            for x in found:
+                if x[0] not in seen:
+                    seen.add(x[0])
+                    wave.append(x)
+    return kept
+
+
+def linked_pages():
+    rng = random.Random(8)
+    pages = {}
+    for i in range(130):
+        host = f"http://h{i % 3}"
+        text = " ".join(rng.choice("abcdefghijklmnop") + str(rng.randrange(50)) for _ in range(20))
+        if i % 11 == 10:
+            text = pages[f"http://h{(i - 1) % 3}/p{i - 1}"][0]
+        pages[f"{host}/p{i}"] = (text, [f"{host}/p{(i + 3 * k) % 130}" for k in (1, 2)] + [f"http://h{(i + 1) % 3}/p{i + 1}"])
+    pages |= {f"http://h0/list?page={n}": (" ".join(f"list{n}x{k}" for k in range(20)), []) for n in range(1, 8)}
+    return pages
+
+
+def html_of(text, links):
+    return f"<html><body><p>{text}</p>" + "".join(f'<a href="{x}"></a>' for x in links) + "</body></html>"
+
+
+def test_deep_crawl_query_crawls_the_whole_table(spark, tmp_path):
+    pages = linked_pages()
+    rows = [(i, u, html_of(*pages[u])) for i, u in enumerate(pages)]
+    spark.createDataFrame([*rows, (998, None, "<p>x</p>"), (999, "ftp://h0/", "<p>y</p>")], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = [(r.url, r.depth, r.page_num) for r in catalogue.queries()["deep_crawl"](spark, str(tmp_path)).orderBy("ord").collect()]
+    assert got == brute_crawl(pages, list(pages)) and len(got) > 100
+
+
+def test_uncapped_crawl_from_few_seeds(spark):
+    pages = linked_pages()
+    raw = spark.createDataFrame([(u, html_of(*p), None) for u, p in pages.items()], "url string, html string, error string")
+    few = [u for i, u in enumerate(pages) if i % 5 == 0 and "list" not in u] + ["http://h0/list?page=1"]
+    seeds = spark.createDataFrame(list(enumerate(few)), "ord long, url string")
+    limits = CrawlLimits(depth=1, max_pages=None, max_pages_per_domain=2147483647)
+    got = [(r.url, r.depth, r.page_num) for r in deep_crawl(spark, seeds, providers.snapshot_source(raw), limits).orderBy("ord").collect()]
+    assert got == brute_crawl(pages, few) and {(d, n) for _, d, n in got} == {(0, 1), (1, 1), *((0, n) for n in range(2, 6))}
