@@ -113,6 +113,40 @@ class _Member:
         return self.z.unused_data
 
 
+def _length(header: dict[str, str]) -> int:
+    value = header.get("content-length", "0")
+    if not (value.isascii() and value.isdigit()):
+        raise WarcError(f"no content length: {value!r}")
+    return int(value)
+
+
+def _member_records(m: _Member, tests: list) -> Iterator[tuple[dict[str, str], bytes]]:
+    """All records of a gzip member, which is read to its end."""
+    buf = b""
+    while True:
+        buf = buf.lstrip(b"\r\n")
+        while (cut := buf.find(b"\r\n\r\n")) < 0 and (got := m.read(4096)):
+            buf = (buf + got).lstrip(b"\r\n")
+        if cut < 0:
+            if buf.strip():
+                raise WarcError("a record without a whole header")
+            return
+        header = parse_header(buf[:cut])
+        buf = buf[cut + 4 :]
+        left, keep, parts = _length(header), passes(tests, header), []
+        while True:
+            part, buf = buf[:left], buf[left:]
+            left -= len(part)
+            if keep:
+                parts.append(part)
+            if not left:
+                break
+            if not (buf := m.read(max(4096, min(left, _BLOCK)))):
+                raise WarcError("the member ends inside a record")
+        if keep:
+            yield header, b"".join(parts)
+
+
 def gzip_records(f, start: int, end: int, tests: list) -> Iterator[tuple[dict[str, str], bytes]]:
     """Records whose member begins within the range."""
     f.seek(start)
@@ -126,25 +160,7 @@ def gzip_records(f, start: int, end: int, tests: list) -> Iterator[tuple[dict[st
         if not rest and not (rest := more()):
             return
         m = _Member(rest, more)
-        head = b""
-        while (cut := head.find(b"\r\n\r\n")) < 0:
-            got = m.read(4096)
-            if not got:
-                break
-            head += got
-        if cut < 0:
-            if head.strip():
-                raise WarcError("a record without a whole header")
-        else:
-            header = parse_header(head[:cut])
-            if passes(tests, header):
-                parts = [head[cut + 4 :]]
-                while got := m.read(_BLOCK):
-                    parts.append(got)
-                yield header, b"".join(parts)[: int(header.get("content-length", 0))]
-            else:
-                while m.read(_BLOCK):
-                    pass
+        yield from _member_records(m, tests)
         rest = m.left()
         at += m.taken - len(rest)
 
@@ -192,7 +208,7 @@ def plain_records(f, tests: list) -> Iterator[tuple[dict[str, str], bytes]]:
                 raise WarcError("a record without a whole header")
             return
         header = parse_header(head[:cut])
-        size = int(header.get("content-length", 0))
+        size = _length(header)
         at += cut + 4
         if passes(tests, header):
             f.seek(at)

@@ -249,6 +249,25 @@ def test_ranges_split_a_file_without_loss():
         assert got == [f"http://x/{i}" for i in range(30)]
 
 
+def test_a_member_may_hold_many_records():
+    import gzip
+
+    plain = [gzip.decompress(r) for r in records()]
+    want = [f"http://x/{i}" for i in range(30)]
+    whole = list(warc.plain_records(io.BytesIO(b"".join(plain)), []))
+    for borders in ([0, 30], [0, 1, 7, 30], [0, 29, 30]):
+        data = b"".join(gzip.compress(b"".join(plain[a:b])) for a, b in zip(borders, borders[1:]))
+        assert list(warc.gzip_records(io.BytesIO(data), 0, len(data), [])) == whole
+        for step in (50, 333):
+            got = [h["warc-target-uri"] for s in range(0, len(data), step) for h, _ in warc.gzip_records(io.BytesIO(data), s, min(len(data), s + step), [])]
+            assert got == want
+        some = [("target_uri", "in", ("http://x/3", "http://x/29"))]
+        assert [h["warc-target-uri"] for h, _ in warc.gzip_records(io.BytesIO(data), 0, len(data), some)] == ["http://x/3", "http://x/29"]
+    cut = gzip.compress(b"".join(plain)[:-50])
+    with pytest.raises(warc.WarcError):
+        list(warc.gzip_records(io.BytesIO(cut), 0, len(cut), []))
+
+
 def test_plain_files_are_skipped_by_seeking():
     import gzip
 
