@@ -14,8 +14,8 @@ Columns: record_type, record_id, target_uri, date, content_type, content_length,
 headers (names in lower case), http_status, payload (the HTTP body of HTTP blocks,
 else the block).
 
-Defined cases: missing headers are null; a malformed record ends its file unless
-``strict=true`` raises; null urls and payloads are written as such and read as null;
+Defined cases: missing headers are null; a malformed record is passed over up to
+the next record unless ``strict=true`` raises; null urls and payloads are written as such and read as null;
 control characters in a url survive; an empty table writes a file without records;
 duplicated pages become records of their own.
 """
@@ -43,6 +43,7 @@ _HEADER_OF = {"record_type": "warc-type", "record_id": "warc-record-id", "target
 _BLOCK = 1 << 20
 _RANGE = 32 << 20
 _MAGIC = b"\x1f\x8b\x08"
+_NEXT = b"\r\nWARC/"
 
 
 class WarcError(ValueError):
@@ -120,7 +121,7 @@ def _length(header: dict[str, str]) -> int:
     return int(value)
 
 
-def _member_records(m: _Member, tests: list) -> Iterator[tuple[dict[str, str], bytes]]:
+def _member_records(m: _Member, tests: list, strict: bool) -> Iterator[tuple[dict[str, str], bytes]]:
     """All records of a gzip member, which is read to its end."""
     buf = b""
     while True:
@@ -128,12 +129,24 @@ def _member_records(m: _Member, tests: list) -> Iterator[tuple[dict[str, str], b
         while (cut := buf.find(b"\r\n\r\n")) < 0 and (got := m.read(4096)):
             buf = (buf + got).lstrip(b"\r\n")
         if cut < 0:
-            if buf.strip():
+            if buf.strip() and strict:
                 raise WarcError("a record without a whole header")
             return
-        header = parse_header(buf[:cut])
+        try:
+            header = parse_header(buf[:cut])
+            left = _length(header)
+        except ValueError:
+            if strict:
+                raise
+            buf = buf[1:]
+            while (k := buf.find(_NEXT)) < 0 and (got := m.read(_BLOCK)):
+                buf = buf[1 - len(_NEXT) :] + got
+            if k < 0:
+                return
+            buf = buf[k:]
+            continue
         buf = buf[cut + 4 :]
-        left, keep, parts = _length(header), passes(tests, header), []
+        keep, parts = passes(tests, header), []
         while True:
             part, buf = buf[:left], buf[left:]
             left -= len(part)
@@ -147,8 +160,8 @@ def _member_records(m: _Member, tests: list) -> Iterator[tuple[dict[str, str], b
             yield header, b"".join(parts)
 
 
-def gzip_records(f, start: int, end: int, tests: list) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Records whose member begins within the range."""
+def gzip_records(f, start: int, end: int, tests: list, strict: bool = True) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Records whose member begins within the range; unless ``strict``, malformed ones are passed over."""
     f.seek(start)
     rest, at = b"", start
     more = lambda: f.read(_BLOCK)
@@ -160,7 +173,14 @@ def gzip_records(f, start: int, end: int, tests: list) -> Iterator[tuple[dict[st
         if not rest and not (rest := more()):
             return
         m = _Member(rest, more)
-        yield from _member_records(m, tests)
+        try:
+            yield from _member_records(m, tests, strict)
+        except (WarcError, zlib.error):
+            if strict:
+                raise
+            f.seek(at + 1)
+            rest, at = _sync(f, at + 1, end)
+            continue
         rest = m.left()
         at += m.taken - len(rest)
 
@@ -188,9 +208,23 @@ def _sync(f, start: int, end: int) -> tuple[bytes, int]:
     return b"", end
 
 
-def plain_records(f, tests: list) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Records of an uncompressed file; unwanted blocks are passed over by seeking."""
-    at = 0
+def _sync_plain(f, start: int) -> int:
+    """The offset of the first line at or after start that begins a record, or of the file's end."""
+    f.seek(start)
+    buf, base = b"", start
+    while got := f.read(_BLOCK):
+        buf += got
+        if (k := buf.find(_NEXT)) >= 0:
+            return base + k
+        keep = min(len(buf), len(_NEXT) - 1)
+        base += len(buf) - keep
+        buf = buf[len(buf) - keep :]
+    return base + len(buf)
+
+
+def plain_records(f, tests: list, strict: bool = True) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Records of an uncompressed file; unwanted blocks are passed over by seeking. Unless ``strict``, malformed ones are passed over."""
+    at, end = 0, f.seek(0, 2)
     while True:
         f.seek(at)
         head = b""
@@ -204,18 +238,27 @@ def plain_records(f, tests: list) -> Iterator[tuple[dict[str, str], bytes]]:
             at += lead
             continue
         if cut < 0:
-            if head.strip():
+            if head.strip() and strict:
                 raise WarcError("a record without a whole header")
             return
-        header = parse_header(head[:cut])
-        size = _length(header)
+        try:
+            header = parse_header(head[:cut])
+            size = _length(header)
+        except ValueError:
+            if strict:
+                raise
+            at = _sync_plain(f, at + 1)
+            continue
+        begun = at
         at += cut + 4
+        if at + size > end:
+            if strict:
+                raise WarcError("the file ends inside a record")
+            at = _sync_plain(f, begun + 1)
+            continue
         if passes(tests, header):
             f.seek(at)
-            block = f.read(size)
-            if len(block) < size:
-                raise WarcError("the file ends inside a record")
-            yield header, block
+            yield header, f.read(size)
         at += size
 
 
@@ -269,21 +312,17 @@ class WarcReader(DataSourceReader):
         rows: list[dict] = []
         held = 0
         with fs.open_input_file(partition.file) as f:
-            records = gzip_records(f, partition.start, partition.end, self.tests) if partition.file.endswith(".gz") else plain_records(f, self.tests)
-            try:
-                for h, block in records:
-                    status, body = split_http(h, block)
-                    row = {c: h.get(n) for c, n in _HEADER_OF.items()}
-                    row |= {"content_length": int(h["content-length"]) if h.get("content-length", "").isdigit() else None, "headers": list(h.items()), "http_status": status}
-                    row["payload"] = body if self.payload and "x-null-payload" not in h else None
-                    rows.append(row)
-                    held += len(block)
-                    if held > 4 << 20 or len(rows) >= 4096:
-                        yield pa.RecordBatch.from_pylist(rows, _ARROW)
-                        rows, held = [], 0
-            except (WarcError, zlib.error):
-                if self.strict:
-                    raise
+            records = gzip_records(f, partition.start, partition.end, self.tests, self.strict) if partition.file.endswith(".gz") else plain_records(f, self.tests, self.strict)
+            for h, block in records:
+                status, body = split_http(h, block)
+                row = {c: h.get(n) for c, n in _HEADER_OF.items()}
+                row |= {"content_length": int(h["content-length"]) if h.get("content-length", "").isdigit() else None, "headers": list(h.items()), "http_status": status}
+                row["payload"] = body if self.payload and "x-null-payload" not in h else None
+                rows.append(row)
+                held += len(block)
+                if held > 4 << 20 or len(rows) >= 4096:
+                    yield pa.RecordBatch.from_pylist(rows, _ARROW)
+                    rows, held = [], 0
         if rows:
             yield pa.RecordBatch.from_pylist(rows, _ARROW)
 

@@ -268,6 +268,32 @@ def test_a_member_may_hold_many_records():
         list(warc.gzip_records(io.BytesIO(cut), 0, len(cut), []))
 
 
+def test_only_the_bad_record_is_lost(spark, tmp_path):
+    import gzip
+
+    plain = [gzip.decompress(r) for r in records()]
+    bad = [plain[5].replace(b"WARC/1.1", b"JUNK/1.1"), plain[5].replace(b"Content-Length: ", b"Content-Length: x"), plain[5].replace(b"Content-Length: ", b"Content-Length: 999999")]
+    want = [f"http://x/{i}" for i in range(30) if i != 5]
+    for k, b in enumerate(bad):
+        parts = [*plain[:5], b, *plain[6:]]
+        members = [*records()[:5], gzip.compress(b), *records()[6:]]
+        broken = b"".join([*records()[:5], records()[5][:-30], *records()[6:]])
+        files = {f"plain{k}.warc": b"".join(parts), f"members{k}.warc.gz": b"".join(members), f"torn{k}.warc.gz": broken}
+        if k < 2:
+            files[f"one{k}.warc.gz"] = gzip.compress(b"".join(parts))
+        for name, data in files.items():
+            (tmp_path / name).write_bytes(data)
+            for step in (300, 1 << 20):
+                got = [h["warc-target-uri"] for s in range(0, len(data), step) for h, _ in warc.gzip_records(io.BytesIO(data), s, min(len(data), s + step), [], False)] if name.endswith("gz") else [h["warc-target-uri"] for h, _ in warc.plain_records(io.BytesIO(data), [], False)]
+                assert got == want, (name, step)
+    data = (tmp_path / "plain2.warc").read_bytes()
+    assert [h["warc-target-uri"] for h, _ in warc.plain_records(io.BytesIO(data), [("target_uri", "eq", "http://x/9")], False)] == ["http://x/9"]
+    warc.register(spark)
+    assert sorted(r.target_uri for r in spark.read.format("warc").load(str(tmp_path / "plain0.warc")).collect()) == sorted(want)
+    with pytest.raises(Exception, match="no WARC version line"):
+        spark.read.format("warc").option("strict", "true").load(str(tmp_path / "plain0.warc")).collect()
+
+
 def test_plain_files_are_skipped_by_seeking():
     import gzip
 
