@@ -127,6 +127,15 @@ def test_ngram_join_repeated_ids_and_nothing(spark):
     assert ngram_join.one_of_each_group(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_one_of_each_group_removes_rows_not_ids(spark):
+    y, x = " ".join(f"y{i}" for i in range(30)), " ".join(f"x{i}" for i in range(9))
+    rows = [(1, y), (2, y), (2, x), (3, x + " more"), (4, None), (None, y), (5, "single words here"), (5, "single words here")]
+    kept = ngram_join.one_of_each_group(docs(spark, rows))
+    assert kept.columns == docs(spark, rows).columns
+    want = [(1, y), (2, x), (4, None), (None, y), (5, "single words here"), (5, "single words here")]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
+
+
 def test_rtree_prunes_nothing_that_counts():
     rng = np.random.default_rng(3)
     points = rng.poisson(3, (300, ngram_join.GROUPS)).astype(np.int32)
