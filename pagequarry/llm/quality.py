@@ -151,7 +151,8 @@ def with_statistics(docs: DataFrame, column: str) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Trees | None:
     y = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").cast("int").alias("y"))
-    chosen = y.orderBy(F.xxhash64("id"), "id").limit(sample_rows)  # bounded, so it may be broadcast
+    there = y.join(docs.select(F.col("doc_id").cast("long").alias("id")), "id", "left_semi")  # labels of other documents don't count against the bound
+    chosen = there.orderBy(F.xxhash64("id"), "id").limit(sample_rows)  # bounded, so it may be broadcast
     picked = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null").join(F.broadcast(chosen), "id")
     rows = sorted(with_statistics(picked, "x").drop("text").dropDuplicates(["id"]).collect(), key=lambda r: r.id)
     if not rows:

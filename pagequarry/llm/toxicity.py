@@ -183,8 +183,9 @@ def score(texts: list[str | None], table: np.ndarray, bias: float) -> np.ndarray
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, rows: int) -> DataFrame:
     """(id, text, y) of at most ``rows`` labelled documents, chosen by a hash of the id."""
     y = labels.where(F.col("doc_id").isNotNull() & F.col(target).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(target).cast("int").alias("y"))
-    chosen = y.orderBy(F.xxhash64("id"), "id").limit(rows)  # bounded, so it may be broadcast
     picked = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null and text is not null")
+    there = y.join(picked.select("id"), "id", "left_semi")  # labels of other documents don't count against the bound
+    chosen = there.orderBy(F.xxhash64("id"), "id").limit(rows)  # bounded, so it may be broadcast
     return picked.join(F.broadcast(chosen), "id")
 
 

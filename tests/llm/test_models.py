@@ -268,6 +268,15 @@ def test_a_member_may_hold_many_records():
         list(warc.gzip_records(io.BytesIO(cut), 0, len(cut), []))
 
 
+def test_labels_of_other_documents_take_no_sample_place(spark):
+    rows = labelled(random.Random(9), 60)
+    df = docs(spark, [(i, t, "s") for i, t, _ in rows] + [(500, None, "s")])
+    labels = spark.createDataFrame([(i, y, y) for i, _, y in rows] + [(i, 0, 0) for i in range(500, 5500)], "doc_id long, quality int, toxic int")
+    found = toxicity.labelled_sample(df, labels, "toxic", 60)
+    assert sorted((r.id, r.y) for r in found.collect()) == [(i, y) for i, _, y in rows]
+    assert quality.fit(df.where("text is not null"), labels, 60) is not None
+
+
 def test_only_the_bad_record_is_lost(spark, tmp_path):
     import gzip
 
