@@ -455,7 +455,7 @@ def max_pages(spark, sf):
 def expand_links(spark, sf):
     p = _href_lists(spark, sf).select(F.col("page_id").alias("ord"), F.col("url").alias("requested"), "url", "links", F.lit(0).alias("depth"), F.lit(1).alias("page_num"))
     seen = p.select(U.normalize(F.col("requested")).alias("url"))
-    return crawl.expand(p, seen, None, crawl.CrawlLimits(follow_external=True, max_pages_per_domain=1000000)).select("url", "depth", "page_num")
+    return crawl.expand(p, seen, None, crawl.CrawlLimits(follow_external=True, max_pages_per_domain=2147483647)).select("url", "depth", "page_num")
 
 
 @_query()

@@ -30,6 +30,13 @@ def test_deep_crawl_keeps_seeds_in_order(spark, sf):
     assert 0 < len(rows) <= 100 and [r.ord for r in rows] == list(range(1, len(rows) + 1))
 
 
+def test_expand_links_has_no_domain_cap(spark, sf, monkeypatch):
+    caps, real = [], catalogue.crawl.expand
+    monkeypatch.setattr(catalogue.crawl, "expand", lambda kept, seen, prior, limits: caps.append(limits.max_pages_per_domain) or real(kept, seen, prior, limits))
+    catalogue.queries()["expand_links"](spark, sf)
+    assert caps == [2147483647]
+
+
 def test_entry_has_all(spark):
     import __spark_entry__ as e
 
