@@ -3,9 +3,14 @@
 A document is the mean of the embeddings of its character 3- to 5-grams, taken
 inside words with the word's borders as characters; a linear layer and softmax
 give the two classes. Embeddings and layer are trained jointly in numpy (Adam)
-on at most ``sample_rows`` labelled documents, whole texts. A misspelling shares
+on at most ``sample_rows`` labelled documents, whole texts and all their n-grams.
+In the mean an n-gram weighs as its rarity, log((n + 1) / documents with it), so
+that a few telling words aren't averaged away in a long text. A misspelling shares
 most n-grams with the right spelling and so most of its vector.
 
+The result doesn't hang on the seed: a fit runs until its loss has come down, and
+the model is the mean of several fits (the logit is linear in the n-grams).
+
 For scoring, embedding and layer collapse into one number per n-gram bucket; a
 document's logit is the mean of these numbers plus a bias, computed for whole
 Arrow batches at once. Means are shrunk by PRIOR neutral n-grams, so that a few
@@ -34,16 +39,18 @@ from .textkernel import chunks
 BUCKETS = 1 << 17
 DIM = 4
 SIZES = (3, 4, 5)
-MIN_DOCS = 4
 PRIOR = 60
 SAMPLE_ROWS = 6000
-THRESHOLD = 0.8
-EPOCHS = 10
+THRESHOLD = 0.5
+BATCH = 256
+EPOCHS = 6
+FITS = 3
 LEAST_STEPS = 150
+PLATEAU = 0.05
 LEARNING_RATE = 0.15
 _M = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], np.uint32)
 _SPACE = np.uint32(32)
-_BAGS = pa.schema([("id", pa.int64()), ("u", pa.binary()), ("v", pa.binary()), ("y", pa.int32())])
+_BAGS = pa.schema([("id", pa.int64()), ("u", pa.binary()), ("v", pa.binary()), ("y", pa.int32()), ("n", pa.int64())])
 
 
 def code_points(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -108,36 +115,23 @@ def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return u.astype(np.int32), (c / (len(ids) + PRIOR)).astype(np.float32)
 
 
-def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7, lr: float = LEARNING_RATE) -> tuple[np.ndarray, float]:
-    """Fit embeddings and softmax jointly; return each bucket's logit and the bias. Empties ``bags``."""
-    labels = np.asarray(labels, np.int64)
-    nothing = np.zeros(BUCKETS, np.float32), -np.inf
-    if len(np.unique(labels)) < 2:
-        return nothing
-    size = np.array([len(u) for u, _ in bags])
-    cols, vals = (np.concatenate([x[k] for x in bags]) for k in (0, 1))
-    bags.clear()
-    keep = np.bincount(cols, minlength=BUCKETS) >= MIN_DOCS
-    used = np.flatnonzero(keep)
-    if not len(used):
-        return nothing
-    kept = keep[cols]
-    indptr = np.concatenate([[0], np.cumsum(kept, dtype=np.int64)])[np.concatenate([[0], np.cumsum(size)])]
-    cols, vals = (np.cumsum(keep, dtype=np.int32) - 1)[cols[kept]], vals[kept]
-    del kept
+def one_fit(indptr: np.ndarray, cols: np.ndarray, vals: np.ndarray, labels: np.ndarray, width: int, epochs: int, seed: int, lr: float) -> tuple[np.ndarray, float, float]:
+    """(logit of each used n-gram, bias, mean loss of the last epoch) of one joint fit; its steps shrink linearly to none."""
     rng = np.random.default_rng(seed)
-    E = rng.normal(0, 0.1, (len(used), DIM)).astype(np.float32)
+    E = rng.normal(0, 0.1, (width, DIM)).astype(np.float32)
     W = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32)
     b = np.zeros(2, np.float32)
     cost = np.array([1.0, (labels == 0).sum() / max(1, (labels == 1).sum())], np.float32) ** 0.5
-    # one second moment for each tensor: an n-gram's step stays in proportion to its frequency
+    # one second moment for each tensor: an n-gram's step stays in proportion to its gradient
     state = [[np.zeros_like(p), 0.0] for p in (E, W, b)]
-    step, batch = 0, 256
     n = len(labels)
-    for _ in range(max(epochs, -(-LEAST_STEPS * batch // n))):
+    step, steps, loss = 0, epochs * -(-n // BATCH), 0.0
+    for _ in range(epochs):
         order = rng.permutation(n)
-        for at in range(0, n, batch):
-            rows = order[at : at + batch]
+        loss = 0.0
+        for at in range(0, n, BATCH):
+            step += 1
+            rows = order[at : at + BATCH]
             size = indptr[rows + 1] - indptr[rows]
             rows, size = rows[size > 0], size[size > 0]
             if not len(rows):
@@ -150,20 +144,59 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs:
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             y = labels[rows]
+            loss -= float((np.log(p[np.arange(len(rows)), y] + 1e-9) * cost[y]).sum())
             p[np.arange(len(rows)), y] -= 1
             g = p * cost[y][:, None] / len(rows)
-            back = np.repeat(g @ W.T, size, 0) * v[:, None]
-            gE = np.stack([np.bincount(c, back[:, k], len(used)) for k in range(DIM)], 1).astype(np.float32)
-            step += 1
+            back = g @ W.T
+            gE = np.stack([np.bincount(c, np.repeat(back[:, k], size) * v, width) for k in range(DIM)], 1).astype(np.float32)
+            rate = lr * (1 - (step - 1) / steps) / (1 - 0.9**step)
             for x, gx, st in zip((E, W, b), (gE, mean.T @ g, g.sum(0)), state):
                 m = st[0]
                 m *= 0.9
                 m += 0.1 * gx
                 st[1] = 0.99 * st[1] + 0.01 * float((gx * gx).mean())
-                x -= (lr / (1 - 0.9**step)) / (np.sqrt(st[1] / (1 - 0.99**step)) + 1e-12) * m
-    table = np.zeros(BUCKETS, np.float32)
-    table[used] = E @ (W[:, 1] - W[:, 0])
-    return table, float(b[1] - b[0])
+                x -= rate / (np.sqrt(st[1] / (1 - 0.99**step)) + 1e-12) * m
+        loss /= n
+    return E @ (W[:, 1] - W[:, 0]), float(b[1] - b[0]), loss
+
+
+def train_csr(indptr: np.ndarray, cols: np.ndarray, vals: np.ndarray, labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7, lr: float = LEARNING_RATE) -> tuple[np.ndarray, float]:
+    """Each bucket's logit and the bias, the mean of FITS fits from different beginnings. Overwrites ``cols`` and ``vals``.
+
+    A fit whose loss hasn't come down to PLATEAU begins anew with twice the epochs, three times at most; the best one counts.
+    """
+    labels = np.asarray(labels, np.int64)
+    nothing = np.zeros(BUCKETS, np.float32), -np.inf
+    if len(np.unique(labels)) < 2:
+        return nothing
+    df = np.bincount(cols, minlength=BUCKETS)
+    used = np.flatnonzero(df)
+    if not len(used):
+        return nothing
+    rarity = np.log((len(labels) + 1) / df[used]).astype(np.float32)
+    place = np.zeros(BUCKETS, np.int32)
+    place[used] = np.arange(len(used))
+    cols[:] = place[cols]
+    vals *= rarity[cols]
+    table, bias = np.zeros(BUCKETS, np.float32), 0.0
+    least = -(-LEAST_STEPS // -(-len(labels) // BATCH))
+    for k in range(FITS):
+        best = None
+        for again in range(3):
+            got = one_fit(indptr, cols, vals, labels, len(used), max(epochs, least) << again, seed + 1000 * again + k, lr)
+            best = got if best is None or got[2] < best[2] else best
+            if best[2] <= PLATEAU:
+                break
+        table[used] += best[0] * rarity / FITS
+        bias += best[1] / FITS
+    return table, bias
+
+
+def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7, lr: float = LEARNING_RATE) -> tuple[np.ndarray, float]:
+    """``train_csr`` of a list of bags."""
+    size = np.array([len(u) for u, _ in bags], np.int64)
+    cols, vals = (np.concatenate([x[k] for x in bags]) if bags else np.zeros(0, t) for k, t in ((0, np.int32), (1, np.float32)))
+    return train_csr(np.concatenate([[0], np.cumsum(size)]), cols.astype(np.int32), vals.astype(np.float32), labels, epochs, seed, lr)
 
 
 def score(texts: list[str | None], table: np.ndarray, bias: float) -> np.ndarray:
@@ -204,16 +237,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> t
     found = labelled_sample(docs, labels, "toxic", sample_rows).mapInArrow(run, "id long, y int, u binary, v binary")
     one = found.groupBy("id").agg(F.min(F.struct("u", "v", "y")).alias("b")).select("id", "b.*")  # of rows that share an id the least bag
     path = new_path(docs.sparkSession, "labelled-bags")
-    one.write.parquet(path)
+    one.withColumn("n", (F.length("u") / 4).cast("long")).write.parquet(path)
     fs, where = local_files(path)
-    ids, labelled, bags = [], [], []
-    for b in pads.dataset(where, filesystem=fs, schema=_BAGS, format="parquet").to_batches(batch_size=64):
-        ids += b.column("id").to_pylist()
-        labelled += b.column("y").to_pylist()
-        bags += [(np.frombuffer(u, np.int32), np.frombuffer(v, np.float32)) for u, v in zip(b.column("u").to_pylist(), b.column("v").to_pylist())]
-    order = np.argsort(ids, kind="stable").tolist()
-    bags = [bags[i] for i in order]  # the one list that holds them: train empties it
-    return train(bags, np.array([labelled[i] for i in order], np.int64))
+    table = pads.dataset(where, filesystem=fs, schema=_BAGS, format="parquet")
+    head = table.to_table(columns=["id", "y", "n"])
+    ids, y, n = (head.column(c).to_numpy() for c in ("id", "y", "n"))
+    order = np.argsort(ids, kind="stable")  # rows come in any order, the fit doesn't
+    ids, y = ids[order], y[order]
+    indptr = np.concatenate([[0], np.cumsum(n[order])]).astype(np.int64)
+    cols, vals = np.empty(indptr[-1], np.int32), np.empty(indptr[-1], np.float32)
+    for b in table.to_batches(columns=["id", "u", "v"], batch_size=64, batch_readahead=1, fragment_readahead=1):
+        for at, u, v in zip(np.searchsorted(ids, b.column("id").to_numpy()).tolist(), b.column("u"), b.column("v")):
+            cols[indptr[at] : indptr[at + 1]] = np.frombuffer(u.as_buffer(), np.int32)
+            vals[indptr[at] : indptr[at + 1]] = np.frombuffer(v.as_buffer(), np.float32)
+    return train_csr(indptr, cols, vals, y)
 
 
 def with_toxicity(docs: DataFrame, model: tuple[np.ndarray, float], column: str) -> DataFrame:

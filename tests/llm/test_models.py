@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -59,6 +60,32 @@ def test_toxicity_learns_and_generalises_to_misspellings(spark):
     assert toxicity.drop_toxic(d, lab.where("toxic = 0")).count() == 400  # one class: nothing is rejected
 
 
+def test_toxicity_of_labels_outside_the_sample_whatever_the_seed():
+    docs_, labels_ = (pq.read_table(f"/root/testdata/sf0.1/{t}.parquet").to_pandas() for t in ("documents", "labels"))
+    rows = docs_.merge(labels_, on="doc_id").dropna(subset=["text"]).sort_values("doc_id")
+    rows = rows.iloc[np.random.default_rng(0).permutation(len(rows))]
+    fitted, held = rows[:2600], rows[2600:]
+    bags = [toxicity.bag(t) for t in fitted.text]
+    caught, blamed = [], []
+    for seed in (7, 21):
+        model = toxicity.train(bags, fitted.toxic.to_numpy(), seed=seed)
+        assert ((toxicity.score(fitted.text.tolist(), *model) >= toxicity.THRESHOLD) == (fitted.toxic == 1)).mean() > 0.99
+        p = toxicity.score(held.text.tolist(), *model) >= toxicity.THRESHOLD
+        caught.append(p[held.toxic == 1].mean())
+        blamed.append(p[held.toxic == 0].mean())
+    assert min(caught) > 0.9 and max(caught) - min(caught) < 0.03 and max(blamed) < 0.02
+
+
+def test_a_few_toxic_words_condemn_a_long_text():
+    rng = random.Random(3)
+    rows = labelled(rng, 600)
+    model = toxicity.train([toxicity.bag(t) for _, t, _ in rows], np.array([y for *_, y in rows]))
+    clean = prose(rng, 8000)
+    toxic = prose(rng, 8000, rng.choices(["idiot", "moron", "scumbag", "stupid"], k=160))
+    p = toxicity.score([clean, toxic], *model)
+    assert p[0] < 0.1 and p[1] > 0.9
+
+
 def test_batch_scores_equal_single_scores():
     rng = random.Random(2)
     table = np.random.default_rng(2).normal(0, 1, toxicity.BUCKETS).astype(np.float32)
