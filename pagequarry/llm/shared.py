@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 
@@ -23,11 +24,14 @@ _USED: set[str] = set()
 def shared_dir(spark: SparkSession) -> str:
     """The run's own folder below ``spark.checkpoint.dir``.
 
-    Only where the session names no folder (local tests) is one made, and the
-    setting filled in with it.
+    Only a local session that names no folder (tests) gets one of its own, and the
+    setting filled in with it; on a cluster the setting is required, as no executor
+    could read another machine's temporary folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL.get("dir")
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = _LOCAL["dir"] = "file://" + tempfile.mkdtemp(prefix="pagequarry-")
         spark.sparkContext.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/pagequarry-{_RUN}"
@@ -73,9 +77,21 @@ def local_files(url: str) -> tuple[object, str]:
     return pafs.FileSystem.from_uri(url if "://" in url or url.startswith("file:") else f"file://{os.path.abspath(url)}")
 
 
-def partitions(spark: SparkSession) -> int:
-    """Number of parts for a packed shuffle: the session's own setting for shuffles."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+#: Most bytes of input (as stored) to a part of a packed shuffle, which one task reads at a time.
+PART_BYTES = 64 << 20
+
+
+def stored_bytes(df: DataFrame) -> int:
+    """What the tables below ``df`` take on disk, by Spark's own statistics; tables of unknown size count as nothing."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(x for x in sizes if x < 1 << 60)
+
+
+def partitions(df: DataFrame, nbytes: int | None = None) -> int:
+    """Number of parts for a packed shuffle: the session's setting for shuffles, and more where a part would hold over PART_BYTES."""
+    least = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return max(least, -(-(stored_bytes(df) if nbytes is None else nbytes) // PART_BYTES))
 
 
 #: Most rows of ids (8 to 40 bytes each) that may be broadcast; beyond it the join shuffles.

@@ -59,7 +59,7 @@ def split(texts: pa.Array, ids: np.ndarray, words: int = WORDS) -> tuple[np.ndar
 
 def packed(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(part, meta, text): super-k-mers, compressed by bucket, in the bucket's partition."""
-    parts = partitions(docs.sparkSession)
+    parts = partitions(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         metas: list[np.ndarray] = []

@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pagequarry.llm import exact_dedup, ngram_join, substring_dedup, suffix_dedup, superkmers, textkernel
 
@@ -57,6 +58,36 @@ def test_heavy_hitters_are_found(spark):
     assert b"c" in got and len(got) <= 3
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_each_partition_is_summarised_by_its_own_task(spark):
+    df = spark.range(20_000).select(F.sha2((F.col("id") % 5000).cast("string"), 256).cast("binary").alias("x")).repartition(100)
+    seen = exact_dedup.misra_gries(df, "x", 50)
+    assert "Exchange hashpartitioning(item" in plan_of(seen) and "Exchange SinglePartition" in plan_of(seen)  # 100 -> 2 -> 1
+    group = "own-tasks"
+    spark.sparkContext.setJobGroup(group, group)
+    seen.collect()
+    tracker = spark.sparkContext.statusTracker()
+    tasks = [tracker.getStageInfo(s).numTasks for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds if tracker.getStageInfo(s)]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert max(tasks) >= 100
+
+
+def test_texts_are_not_shuffled_to_drop_copies(spark):
+    rows = [(i, "hot" if i % 3 else f"t{i % 40} " + "long text " * 20) for i in range(600)] + [(1, "hot"), (1, "hot")]
+    kept = exact_dedup.drop_exact_duplicates(docs(spark, rows))
+    assert "Exchange hashpartitioning" not in plan_of(exact_dedup.drop_exact_duplicates(docs(spark, rows[:600])))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({t: i for i, t in reversed(rows)}.values())
+
+
+def test_exact_very_long_text(spark):
+    long = "word " * 400_000
+    got = exact_dedup.exact_duplicates(docs(spark, [(3, long), (1, long), (2, long + "x")])).collect()
+    assert [(r.doc_id, r.kept_id) for r in got] == [(3, 1)]
+
+
 WORD = re.compile("[0-9a-z\x80-\U0010ffff]+")
 
 
