@@ -16,11 +16,13 @@ constraint dropped, then at random.
 Defined cases: rows that share a doc_id are one unit, rows without id one unit
 for each text; a null source is a source of its own; null and empty texts weigh
 no tokens and follow the document constraint only; a source of no tokens is kept
-whole; an empty table gives an empty result; other columns are untouched.
+whole; sources without a given weight go; weights that are negative or not finite
+raise ValueError; an empty table gives an empty result; other columns are untouched.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -28,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stash
+from .shared import ids_for_join, stash
 
 TEMPERATURE = 0.5
 BUCKET_UNITS = 20_000
@@ -120,6 +122,8 @@ def targets(units: DataFrame, temperature: float, weights: dict[str, float] | No
 
     One row for each source; p is the weight's share of tokens over the source's own, scaled so that the largest is 1.
     """
+    if bad := [k for k, x in (weights or {}).items() if not (math.isfinite(x) and x >= 0)]:
+        raise ValueError(f"weights must be finite and not negative: {sorted(map(str, bad))}")
     by = units.groupBy("source").agg(F.count("*").alias("units"), F.sum("tokens").alias("total"))
     if weights is None:
         want = F.pow(F.col("total").cast("double"), F.lit(float(temperature)))
@@ -153,10 +157,13 @@ def balanced_sample(docs: DataFrame, temperature: float = TEMPERATURE, weights:
 
 
 def mixed_documents(docs: DataFrame, temperature: float = TEMPERATURE, weights: dict[str, float] | None = None) -> DataFrame:
-    """The chosen documents, all columns as they are."""
-    kept = balanced_sample(docs, temperature, weights).select(F.col("unit").alias("__pq_kept"))
+    """The chosen documents, all columns as they are.
+
+    The units are broadcast to the texts if their counted rows are few enough; else both are shuffled.
+    """
+    kept = stash(balanced_sample(docs, temperature, weights).select(F.col("unit").alias("__pq_kept")), "kept-units")
     rows = docs.withColumn("__pq_unit", _unit(F.col("doc_id"), F.col("text")))
-    return rows.join(kept, F.col("__pq_unit") == F.col("__pq_kept"), "left_semi").drop("__pq_unit")
+    return rows.join(ids_for_join(kept), F.col("__pq_unit") == F.col("__pq_kept"), "left_semi").drop("__pq_unit")
 
 
 def mixing_report(docs: DataFrame, temperature: float = TEMPERATURE, weights: dict[str, float] | None = None) -> DataFrame:
