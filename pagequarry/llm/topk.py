@@ -27,13 +27,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.dataset as pads
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import local_files, new_path
 
 K = 10
+EVERY = 100
 SHARD = 8192
 _QUERIES = 1024
 _FIRST = 16
@@ -132,8 +134,12 @@ def _arrays(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield ids[at], values[start[at][:, None] + np.arange(d)]
 
 
-def nearest(vectors: DataFrame, k: int = K) -> DataFrame:
-    """(vec_id, neighbour_id, rank, score): each vector's k others of highest inner product."""
+def nearest(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
+    """(vec_id, neighbour_id, rank, score): for each vector whose id is divisible by ``every`` its k others of highest inner product.
+
+    Queries go in blocks of _QUERIES against all shards. Where there are fewer blocks than
+    task slots, the shards are shared out among several tasks a block, whose best are merged.
+    """
     spark = vectors.sparkSession
     rows = _clean(vectors)
     path = new_path(spark, "shards")
@@ -160,23 +166,31 @@ def nearest(vectors: DataFrame, k: int = K) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, where = local_files(path)
         for b in batches:
-            for own, q in ((o[s : s + _QUERIES], x[s : s + _QUERIES]) for o, x in _arrays(b) for s in range(0, len(o), _QUERIES)):
-                best = Best(len(q), k)
-                for fragment in pads.dataset(where, filesystem=fs, format="parquet").get_fragments(pads.field("dim") == q.shape[1]):
-                    for shards in fragment.to_batches(filter=pads.field("dim") == q.shape[1], batch_size=1):
-                        for shard in shards.to_pylist():
-                            search(best, q, own, shard)
-                r, c = np.nonzero(best.score > -np.inf)
-                yield pa.RecordBatch.from_arrays([pa.array(own[r]), pa.array(best.id[r, c]), pa.array((c + 1).astype(np.int32)), pa.array(six_decimals(best.score[r, c]))], ["vec_id", "neighbour_id", "rank", "score"])
-
-    n = rows.count()
-    queries = rows.repartition(max(1, -(-n // _QUERIES)), "id")
-    return queries.mapInArrow(run, "vec_id long, neighbour_id long, rank int, score double")
+            for share in np.unique(b.column("share").to_numpy()):
+                part = b.filter(pc.equal(b.column("share"), pa.scalar(int(share), pa.int32())))
+                for own, q in ((o[s : s + _QUERIES], x[s : s + _QUERIES]) for o, x in _arrays(part) for s in range(0, len(o), _QUERIES)):
+                    best = Best(len(q), k)
+                    fragments = sorted(pads.dataset(where, filesystem=fs, format="parquet").get_fragments(pads.field("dim") == q.shape[1]), key=lambda f: f.path)
+                    for fragment in fragments[share::shares]:
+                        for shards in fragment.to_batches(filter=pads.field("dim") == q.shape[1], batch_size=1):
+                            for shard in shards.to_pylist():
+                                search(best, q, own, shard)
+                    r, c = np.nonzero(best.score > -np.inf)
+                    yield pa.RecordBatch.from_arrays([pa.array(own[r]), pa.array(best.id[r, c]), pa.array(best.score[r, c])], ["vec_id", "neighbour_id", "score"])
+
+    asked = rows.where(F.col("id") % every == 0)
+    blocks = max(1, -(-asked.count() // _QUERIES))
+    shares = max(1, -(-spark.sparkContext.defaultParallelism // blocks))
+    queries = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    queries = queries.repartition(blocks * shares, "block", "share").sortWithinPartitions("block", "share")
+    found = queries.select("id", "x", "share").mapInArrow(run, "vec_id long, neighbour_id long, score double")
+    w = Window.partitionBy("vec_id").orderBy(F.desc("score"), "neighbour_id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("vec_id", "neighbour_id", "rank", F.round("score", 6).alias("score"))
 
 
 ORACLE = f"""
 WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
-s AS (SELECT a.vec_id, b.vec_id AS neighbour_id, round(list_dot_product(a.x, b.x), 9) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x)),
+s AS (SELECT a.vec_id, b.vec_id AS neighbour_id, round(list_dot_product(a.x, b.x), 9) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE a.vec_id % {EVERY} = 0),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, neighbour_id) AS INTEGER) AS rank FROM s)
 SELECT vec_id, neighbour_id, rank, round(score, 6) AS score FROM r WHERE rank <= {K}
 """

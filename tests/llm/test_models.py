@@ -171,6 +171,18 @@ def test_mixing_meets_targets(spark, monkeypatch):
     assert {r.source for r in even} == {"hot", "a"} and max(r.t for r in even) - min(r.t for r in even) < 250
 
 
+@pytest.mark.parametrize("bad", [-1.0, float("nan"), float("inf")])
+def test_mixing_refuses_weights_that_are_none(spark, bad):
+    with pytest.raises(ValueError, match="not negative"):
+        mixing.mixed_documents(docs(spark, [(1, "a b", "x"), (2, "c", "y")]), weights={"x": bad, "y": 1.0})
+
+
+def test_mixing_of_a_very_long_text(spark):
+    d = docs(spark, [(1, "word " * 400_000, "s"), *((i, "a b c", "s") for i in range(2, 400)), *((i, "a", "t") for i in range(400, 420))])
+    got = {r.unit: r for r in mixing.balanced_sample(d, weights={"s": 1.0, "t": 1.0}).collect()}
+    assert sum(r.source == "t" for r in got.values()) == 20 and ("1" not in got or got["1"].tokens == 400_000)
+
+
 def test_mixing_cases(spark):
     d = docs(spark, [(None, "a b", None), (None, "a b", None), (None, None, "s"), (1, "", "s"), (1, "", "s"), (2, "x y z", "t")])
     kept = mixing.mixed_documents(d)
@@ -232,9 +244,11 @@ def test_topk_equals_brute_force(spark, monkeypatch, spread):
     v |= {300: v[0], 301: v[0], 400: np.ones(3), 401: np.ones(3)}
     rows = [(i, x.tolist(), 1, 2) for i, x in v.items()] + [(None, [1.0], 0, 0), (500, None, 0, 0), (501, [], 0, 0), (502, [1.0, None], 0, 0), (503, [float("nan")], 0, 0), (5, v[5].tolist(), 1, 2)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, id int, x int").repartition(3)
-    got = {(r.vec_id, r.neighbour_id, r.rank) for r in topk.nearest(df, 4).collect()}
+    got = {(r.vec_id, r.neighbour_id, r.rank) for r in topk.nearest(df, 4, 1).collect()}
     assert got == brute_topk(v, 4)
     assert topk.nearest(df.limit(0)).count() == 0
+    third = {(r.vec_id, r.neighbour_id, r.rank) for r in topk.nearest(df, 4, 3).collect()}
+    assert third == {x for x in got if x[0] % 3 == 0}
 
 
 def test_threshold_stops_early():
