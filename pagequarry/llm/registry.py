@@ -14,11 +14,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.jaccard_pairs(_table(spark, sf_dir, "documents"))
-
-
-def op1_all_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.all_jaccard_pairs(_table(spark, sf_dir, "documents"))
+    return ngram_join.linked_documents(_table(spark, sf_dir, "documents"))
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,14 +54,13 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_ngram_jaccard_join, op1_all_jaccard_pairs, op2_warc, op3_exact_topk, op4_quality, op5_mixing, op6_toxicity, op7_suffix_array_dedup, op8_byte_bpe, op9_substring_dedup, op10_exact_dedup]
+    found = [op1_ngram_jaccard_join, op2_warc, op3_exact_topk, op4_quality, op5_mixing, op6_toxicity, op7_suffix_array_dedup, op8_byte_bpe, op9_substring_dedup, op10_exact_dedup]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_ngram_jaccard_join": ngram_join.ORACLE,
-        "op1_all_jaccard_pairs": ngram_join.ALL_PAIRS_ORACLE,
         "op2_warc": warc.ORACLE,
         "op3_exact_topk": topk.ORACLE,
         "op7_suffix_array_dedup": suffix_dedup.ORACLE,

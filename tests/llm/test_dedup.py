@@ -131,24 +131,54 @@ def test_ngram_join_recall_and_precision(spark):
     assert set(got) <= expected and len(got) >= 0.95 * len(expected)
 
 
-def test_all_pairs_has_members_of_equal_sets(spark):
-    base = [f"w{i}" for i in range(30)]
-    text, near = " ".join(base), " ".join([*base[:-1], "other"])
-    rows = near_rows(5, 15) + [(i, text) for i in (8000, 8001, 8005)] + [(i, near) for i in (8002, 8003)] + [(8004, "a b"), (8006, "A, b")]
-    sets = {i: gram_set(t) for i, t in rows}
-    ids = sorted(sets)
-    want = {}
-    for x, a in enumerate(ids):
-        for b in ids[x + 1 :]:
+def brute_links(rows):
+    """{doc_id: (class_id, links)} of the documents that reach the threshold with another."""
+    sets = {i: gram_set(t) for i, t in rows if i is not None and gram_set(t)}
+    linked = {i: set() for i in sets}
+    for a in sets:
+        for b in sets:
             s = len(sets[a] & sets[b])
-            if (j := s / (len(sets[a]) + len(sets[b]) - s)) >= 0.5:
-                want[a, b] = j
-    got = [tuple(r) for r in ngram_join.all_jaccard_pairs(docs(spark, rows)).collect()]
-    assert len({(a, b) for a, b, _ in got}) == len(got)
-    assert all(abs(want[a, b] - j) < 1e-12 for a, b, j in got) and len(got) >= 0.95 * len(want)
-    planted = {(a, b) for a, b in want if a >= 8000}
-    assert len(planted) == 11 and planted <= {(a, b) for a, b, _ in got}
-    assert ngram_join.all_jaccard_pairs(docs(spark, rows).limit(0)).count() == 0
+            if a < b and s / (len(sets[a]) + len(sets[b]) - s) >= 0.5:
+                linked[a].add(b)
+                linked[b].add(a)
+    out = {}
+    for i in sorted(x for x in linked if linked[x]):
+        if i not in out:
+            group, todo = {i}, [i]
+            while todo:
+                for y in linked[todo.pop()] - group:
+                    group.add(y)
+                    todo.append(y)
+            out.update({x: (i, len(linked[x])) for x in group})
+    return out
+
+
+@pytest.mark.parametrize("block", [32 << 20, 4000, 700])
+def test_linked_documents_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK_BYTES", block)  # small ones split families by buckets and into blocks
+    base = [f"w{i}" for i in range(60)]
+    text, near = " ".join(base), " ".join([*base[:-1], "other"])
+    rng = random.Random(8)
+    rows = near_rows(5, 25) + [(i, text) for i in (8000, 8001, 8005)] + [(i, near) for i in (8002, 8003)] + [(8004, "a b"), (8006, "A, b"), (8007, None), (8008, ""), (None, text)]
+    for i in range(60):  # a family of unlike texts
+        rows.append((9000 + i, " ".join(w if rng.random() > 0.04 else f"n{rng.randrange(999)}" for w in base)))
+    want = brute_links(rows)
+    found = ngram_join.linked_documents(docs(spark, rows))
+    got = [tuple(r) for r in found.collect()]
+    assert found.columns == ["doc_id", "class_id", "links"] and len({x[0] for x in got}) == len(got)
+    assert {i: (c, n) for i, c, n in got} == want
+    assert ngram_join.linked_documents(docs(spark, rows).limit(0)).count() == 0
+
+
+def test_links_are_counted_in_blocks_as_in_one(spark, monkeypatch):
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(80)]
+    rows = [(i, " ".join(w if rng.random() > 0.1 else f"n{rng.randrange(999)}" for w in base)) for i in range(150)]
+    one = {tuple(r) for r in ngram_join.linked_documents(docs(spark, rows)).collect()}
+    monkeypatch.setattr(ngram_join, "BLOCK_BYTES", 20_000)
+    assert {tuple(r) for r in ngram_join.linked_documents(docs(spark, rows)).collect()} == one and len(one) > 80
+    pairs = [(r.doc_a, r.doc_b) for r in ngram_join.jaccard_pairs(docs(spark, rows)).collect()]
+    assert len(set(pairs)) == len(pairs) and 2 * len(pairs) == sum(n for *_, n in one)
 
 
 def test_ngram_join_repeated_ids_and_nothing(spark):
@@ -173,9 +203,9 @@ def test_rtree_prunes_nothing_that_counts():
     points[150:] = np.maximum(points[:150] + rng.integers(-1, 2, (150, ngram_join.GROUPS)), 0)
     sizes = points.sum(1)
     for t in (0.5, 0.8, 0.9):
-        i, j = ngram_join.RTree(points, sizes).pairs(t)
-        got = {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist())}
-        assert len(got) == len(i)
+        found = [p for i, j in ngram_join.RTree(points, sizes).pairs(t) for p in zip(i.tolist(), j.tolist())]
+        got = {(min(p), max(p)) for p in found}
+        assert len(got) == len(found)
         over = np.minimum(points[:, None], points[None]).sum(2)
         may = over >= t / (1 + t) * (sizes[:, None] + sizes[None]) - 1e-9
         assert got == {(a, b) for a, b in zip(*np.nonzero(may)) if a < b}
