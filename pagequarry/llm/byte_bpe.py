@@ -14,7 +14,9 @@ chunks are kept in a bounded per-worker table, which changes speed only.
 
 Defined cases: a null text gives null tokens, an empty text an empty list; text
 that holds special tokens' strings is ordinary text; equal texts get equal
-tokens; an empty table gives an empty result.
+tokens; an empty table gives an empty result; a column of the table that has a new
+column's name, in whatever case, is replaced by it; ids of which one is null or
+outside the vocabulary are decoded to null.
 """
 
 from __future__ import annotations
@@ -209,8 +211,17 @@ def load(path: str = VOCABULARY, pattern: str = PATTERN) -> ByteBPE:
     return ByteBPE(ranks, pattern)
 
 
+def _without(rows: DataFrame, *names: str | None) -> DataFrame:
+    """The rows without the columns of these names; those that are read stay."""
+    new = {n.lower() for n in names if n}
+    if "text" in new:
+        raise ValueError("the text's own column can't be replaced")
+    return rows.select(*[F.col(f"`{c}`") for c in rows.columns if c.lower() not in new])
+
+
 def with_tokens(docs: DataFrame, column: str = "tokens", check: str | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
     """The documents with their token ids; ``check`` names a column that tells whether decoding them gave the text."""
+    docs = _without(docs, column, check)
     kinds = [pa.field(column, pa.list_(pa.int32()))] + ([pa.field(check, pa.bool_())] if check else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,11 +247,12 @@ def with_tokens(docs: DataFrame, column: str = "tokens", check: str | None = Non
 
 def decoded(tokens: DataFrame, column: str = "tokens", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """The rows with the text that their token ids stand for; null ids give null."""
+    tokens = tokens.select(*[F.col(f"`{c}`") for c in tokens.columns if c.lower() != text.lower()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(vocabulary)
         for b in batches:
-            out = pa.array([None if x is None else bpe.decode(x) for x in b.column(column).to_pylist()], pa.string())
+            out = pa.array([None if x is None or any(i is None or not 0 <= i < bpe.size for i in x) else bpe.decode(x) for x in b.column(column).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns, out], schema=b.schema.append(pa.field(text, pa.string())))
 
     return tokens.mapInArrow(run, added(tokens.schema, **{text: StringType()}))

@@ -4,7 +4,8 @@ Reading plans partitions from files and, for files of gzip members, from ranges
 them. Predicates on the record type and on header columns reach the reader, which
 parses a record's WARC header first: a record that fails is skipped by its length in
 a plain file, or drained without being kept in a compressed one, and its payload is
-neither decoded nor copied. ``payload=false`` leaves out all payloads.
+neither decoded nor copied. ``payload=false`` leaves out all payloads: of a block
+no more than the first HEAD bytes are kept, for the HTTP status.
 
 Writing puts one gzip member a record into each task's file; a manifest that is
 written at commit names the files of successful tasks, and readers of the folder use
@@ -16,6 +17,7 @@ else the block).
 
 Defined cases: missing headers are null; a malformed record is passed over up to
 the next record unless ``strict=true`` raises; null urls and payloads are written as such and read as null;
+an HTTP status that isn't three digits is null;
 control characters in a url survive; an empty table writes a file without records;
 duplicated pages become records of their own.
 """
@@ -42,6 +44,7 @@ _ARROW = pa.schema([("record_type", pa.string()), ("record_id", pa.string()), ("
 _HEADER_OF = {"record_type": "warc-type", "record_id": "warc-record-id", "target_uri": "warc-target-uri", "date": "warc-date", "content_type": "content-type"}
 _BLOCK = 1 << 20
 _RANGE = 32 << 20
+HEAD = 1 << 16
 _MAGIC = b"\x1f\x8b\x08"
 _NEXT = b"\r\nWARC/"
 
@@ -121,7 +124,7 @@ def _length(header: dict[str, str]) -> int:
     return int(value)
 
 
-def _member_records(m: _Member, tests: list, strict: bool) -> Iterator[tuple[dict[str, str], bytes]]:
+def _member_records(m: _Member, tests: list, strict: bool, most: int | None) -> Iterator[tuple[dict[str, str], bytes]]:
     """All records of a gzip member, which is read to its end."""
     buf = b""
     while True:
@@ -147,11 +150,13 @@ def _member_records(m: _Member, tests: list, strict: bool) -> Iterator[tuple[dic
             continue
         buf = buf[cut + 4 :]
         keep, parts = passes(tests, header), []
+        room = left if most is None else most
         while True:
             part, buf = buf[:left], buf[left:]
             left -= len(part)
-            if keep:
-                parts.append(part)
+            if keep and room > 0:
+                parts.append(part[:room])
+                room -= len(part)
             if not left:
                 break
             if not (buf := m.read(max(4096, min(left, _BLOCK)))):
@@ -160,8 +165,8 @@ def _member_records(m: _Member, tests: list, strict: bool) -> Iterator[tuple[dic
             yield header, b"".join(parts)
 
 
-def gzip_records(f, start: int, end: int, tests: list, strict: bool = True) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Records whose member begins within the range; unless ``strict``, malformed ones are passed over."""
+def gzip_records(f, start: int, end: int, tests: list, strict: bool = True, most: int | None = None) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Records whose member begins within the range, of their blocks the first ``most`` bytes; unless ``strict``, malformed ones are passed over."""
     f.seek(start)
     rest, at = b"", start
     more = lambda: f.read(_BLOCK)
@@ -174,7 +179,7 @@ def gzip_records(f, start: int, end: int, tests: list, strict: bool = True) -> I
             return
         m = _Member(rest, more)
         try:
-            yield from _member_records(m, tests, strict)
+            yield from _member_records(m, tests, strict, most)
         except (WarcError, zlib.error):
             if strict:
                 raise
@@ -222,7 +227,7 @@ def _sync_plain(f, start: int) -> int:
     return base + len(buf)
 
 
-def plain_records(f, tests: list, strict: bool = True) -> Iterator[tuple[dict[str, str], bytes]]:
+def plain_records(f, tests: list, strict: bool = True, most: int | None = None) -> Iterator[tuple[dict[str, str], bytes]]:
     """Records of an uncompressed file; unwanted blocks are passed over by seeking. Unless ``strict``, malformed ones are passed over."""
     at, end = 0, f.seek(0, 2)
     while True:
@@ -258,7 +263,7 @@ def plain_records(f, tests: list, strict: bool = True) -> Iterator[tuple[dict[st
             continue
         if passes(tests, header):
             f.seek(at)
-            yield header, f.read(size)
+            yield header, f.read(size if most is None else min(size, most))
         at += size
 
 
@@ -268,7 +273,7 @@ def split_http(header: dict[str, str], block: bytes) -> tuple[int | None, bytes]
         return None, block
     head, _, body = block.partition(b"\r\n\r\n")
     first = head.split(b"\r\n", 1)[0].split(b" ")
-    return (int(first[1]) if len(first) > 1 and first[0].startswith(b"HTTP/") and first[1].isdigit() else None), body
+    return (int(first[1]) if len(first) > 1 and first[0].startswith(b"HTTP/") and len(first[1]) == 3 and first[1].isdigit() else None), body
 
 
 class WarcReader(DataSourceReader):
@@ -312,7 +317,8 @@ class WarcReader(DataSourceReader):
         rows: list[dict] = []
         held = 0
         with fs.open_input_file(partition.file) as f:
-            records = gzip_records(f, partition.start, partition.end, self.tests, self.strict) if partition.file.endswith(".gz") else plain_records(f, self.tests, self.strict)
+            most = None if self.payload else HEAD
+            records = gzip_records(f, partition.start, partition.end, self.tests, self.strict, most) if partition.file.endswith(".gz") else plain_records(f, self.tests, self.strict, most)
             for h, block in records:
                 status, body = split_http(h, block)
                 row = {c: h.get(n) for c, n in _HEADER_OF.items()}

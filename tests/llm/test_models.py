@@ -219,12 +219,26 @@ def test_bpe_on_documents(spark, sf, reference):
 
 
 def test_bpe_cases(spark):
-    d = docs(spark, [(1, None, "s"), (None, "", None), (2, "<|endoftext|>", "s"), (2, "<|endoftext|>", "s"), (3, "  ", "s")]).drop("tokens")
+    d = docs(spark, [(1, None, "s"), (None, "", None), (2, "<|endoftext|>", "s"), (2, "<|endoftext|>", "s"), (3, "  ", "s")])  # with a column tokens of its own
     out = byte_bpe.with_tokens(d, check="exact")
     rows = out.collect()
     assert rows[0].tokens is None and rows[1].tokens == [] and rows[2].tokens == rows[3].tokens and rows[0].exact is None and all(r.exact for r in rows[1:])
     assert [r.back for r in byte_bpe.decoded(out, text="back").collect()] == [None, "", "<|endoftext|>", "<|endoftext|>", "  "]
     assert byte_bpe.encode_documents(docs(spark, [(1, "x", "s")]).limit(0)).count() == 0
+    clash = byte_bpe.with_tokens(d.withColumn("Exact", F.lit(7)), check="exact")
+    assert [c.lower() for c in clash.columns].count("exact") == 1 and [c.lower() for c in clash.columns].count("tokens") == 1
+    clash.write.format("noop").mode("overwrite").save()
+    odd = spark.createDataFrame([([100, None],), ([-1],), ([10**9],), (None,), ([],)], "tokens array<int>")
+    assert [r.back for r in byte_bpe.decoded(odd, text="back").collect()] == [None, None, None, None, ""]
+    with pytest.raises(ValueError):
+        byte_bpe.with_tokens(d, column="text")
+
+
+def test_bpe_very_long_text(reference):
+    text = "".join(random.Random(5).choices(["word ", "längere ", "12345 ", "\n", "  ", "!?"], k=200_000))
+    bpe = byte_bpe.load()
+    ids = bpe.encode(text)
+    assert ids == reference.encode_ordinary(text) and bpe.decode(ids) == text
 
 
 def brute_topk(v, k):
@@ -309,6 +323,35 @@ def test_a_member_may_hold_many_records():
         list(warc.gzip_records(io.BytesIO(cut), 0, len(cut), []))
 
 
+@pytest.mark.parametrize("length", [b"abc", b"-5", b"9" * 30, b"", b"1e3"])
+def test_malformed_records_end_nothing_but_themselves(length):
+    import gzip
+
+    good = [gzip.decompress(r) for r in records(3)]
+    bad = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: " + length + b"\r\n\r\nxyz\r\n\r\n"
+    json_ = b"WARC/1.1\r\nWARC-Type: response\r\nX-Target-JSON: {no\r\nContent-Length: 3\r\n\r\nxyz\r\n\r\n"
+    plain = good[0] + bad + json_ + good[1] + good[2]
+    zipped = b"".join(gzip.compress(x) for x in (good[0], bad, json_, good[1], good[2]))
+    want = ["http://x/0", "http://x/1", "http://x/2"]
+    assert [h.get("warc-target-uri") for h, _ in warc.plain_records(io.BytesIO(plain), [], False) if "warc-target-uri" in h] == want
+    assert [h.get("warc-target-uri") for h, _ in warc.gzip_records(io.BytesIO(zipped), 0, len(zipped), [], False) if "warc-target-uri" in h] == want
+    with pytest.raises(ValueError):
+        list(warc.plain_records(io.BytesIO(plain), []))
+    with pytest.raises(ValueError):
+        list(warc.gzip_records(io.BytesIO(zipped), 0, len(zipped), []))
+
+
+def test_http_status_and_head_only():
+    h = {"content-type": "application/http"}
+    assert warc.split_http(h, b"HTTP/1.1 99999999999 OK\r\n\r\nx") == (None, b"x") and warc.split_http(h, b"HTTP/1.1 404 No\r\n\r\nx") == (404, b"x")
+    big = warc.record("response", "http://x/", "application/http", b"HTTP/1.1 200 OK\r\n\r\n" + b"z" * 500_000, {}, "k")
+    import gzip
+
+    for found in (warc.gzip_records(io.BytesIO(big), 0, len(big), [], True, warc.HEAD), warc.plain_records(io.BytesIO(gzip.decompress(big)), [], True, warc.HEAD)):
+        ((head, block),) = found
+        assert len(block) == warc.HEAD and warc.split_http(head, block)[0] == 200
+
+
 def test_labels_of_other_documents_take_no_sample_place(spark):
     rows = labelled(random.Random(9), 60)
     df = docs(spark, [(i, t, "s") for i, t, _ in rows] + [(500, None, "s")])
