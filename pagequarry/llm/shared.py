@@ -98,8 +98,8 @@ def partitions(df: DataFrame, nbytes: int | None = None) -> int:
 BROADCAST_ROWS = 1_000_000
 
 
-def ids_for_join(ids: DataFrame) -> DataFrame:
-    """``ids`` (a stashed table) with a broadcast hint if its counted rows are few enough."""
+def ids_for_join(ids: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``ids`` (a stashed table) with a broadcast hint if its counted rows are few enough; fewer for wider rows."""
     from pyspark.sql import functions as F
 
-    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    return F.broadcast(ids) if ids.count() <= most else ids
