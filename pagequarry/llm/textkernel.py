@@ -16,7 +16,7 @@ import pyarrow as pa
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)
 IBASE = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 _is_word = np.zeros(256, bool)
 _is_word[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
