@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagequarry.functions.html import parse_many
+from pagequarry.operators.cache import PageCache
 from pagequarry.operators.crawl import CrawlLimits, PageSource, deep_crawl
 from pagequarry.operators.rank import Encoder, check_rank_arguments, rank
 from pagequarry.sources.fetch import FetchOptions, Transport, fetch, fetch_pages, http_get, validate_urls
@@ -17,18 +18,23 @@ from pagequarry.staging import staged
 from pagequarry.streaming.stream import ranked_alone
 
 
-def crawl(spark: SparkSession, urls: list[str], query: str, top_k: int | None = None, mode: str = "both", semantic_weight: float = 0.5, options: FetchOptions | None = None, min_text_length: int = 0, encoder: Encoder | None = None, get: Transport = http_get) -> DataFrame:
+def crawl(spark: SparkSession, urls: list[str], query: str, top_k: int | None = None, mode: str = "both", semantic_weight: float = 0.5, options: FetchOptions | None = None, min_text_length: int = 0, encoder: Encoder | None = None, get: Transport = http_get, cache: PageCache | None = None, progress=None) -> DataFrame:
     """Fetch, parse, rank. Fetched pages are staged, so that scoring never fetches again."""
     check_rank_arguments(query, mode, semantic_weight)
-    raw = staged(fetch(spark, urls, options, get), "raw")
+    if progress:
+        progress.start(len(urls))
+    raw = staged(fetch(spark, urls, options, get, cache), "raw")
+    if progress:
+        progress.fetched_many(raw.count())
+        progress.done()
     return rank(parse_many(raw, min_text_length), query, top_k, mode, semantic_weight, encoder)
 
 
-def deep_search(spark: SparkSession, urls: list[str], query: str, limits: CrawlLimits | None = None, top_k: int | None = None, mode: str = "both", semantic_weight: float = 0.5, options: FetchOptions | None = None, encoder: Encoder | None = None, source: PageSource | None = None, get: Transport = http_get, progress=None) -> DataFrame:
+def deep_search(spark: SparkSession, urls: list[str], query: str, limits: CrawlLimits | None = None, top_k: int | None = None, mode: str = "both", semantic_weight: float = 0.5, options: FetchOptions | None = None, encoder: Encoder | None = None, source: PageSource | None = None, get: Transport = http_get, progress=None, cache: PageCache | None = None) -> DataFrame:
     """Crawl in waves from the seeds, then rank. ``source`` replaces fetching, for instance by a snapshot."""
     check_rank_arguments(query, mode, semantic_weight)
     validate_urls(urls)
-    pages = deep_crawl(spark, urls, source or (lambda u: fetch_pages(u, options, get)), limits, progress)
+    pages = deep_crawl(spark, urls, source or (lambda u: fetch_pages(u, options, get, cache=cache)), limits, progress)
     return rank(staged(pages, "crawled"), query, top_k, mode, semantic_weight, encoder)
 
 

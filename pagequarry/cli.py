@@ -8,6 +8,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from pagequarry import api, sinks
+from pagequarry.operators.cache import DISK_TTL, PageCache
 from pagequarry.operators.crawl import CrawlLimits
 from pagequarry.progress import Progress
 from pagequarry.sources.fetch import FetchOptions
@@ -24,6 +25,9 @@ def _parser() -> argparse.ArgumentParser:
     common.add_argument("--mode", choices=("keyword", "semantic", "both"), default="both")
     common.add_argument("--proxy", dest="proxies", action="append")
     common.add_argument("--robots", action="store_true")
+    common.add_argument("--cache", action="store_true", help="keep fetched pages for later crawls")
+    common.add_argument("--cache-path", default="pagequarry-cache", help="folder of kept pages; on a cluster one that all executors reach")
+    common.add_argument("--cache-ttl", type=float, default=DISK_TTL, help="seconds; 0 keeps for ever")
     common.add_argument("--fmt", choices=sinks.FORMATS, default="json")
     common.add_argument("--no-progress", action="store_true")
     for name in ("crawl", "deep", "js"):
@@ -86,18 +90,19 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, provi
             raise ValueError(f"{fmt} needs --out")
         spark = spark or SparkSession.builder.appName("pagequarry").getOrCreate()
         options = FetchOptions(timeout=args.timeout, retries=args.retries, connections=args.connections, rate_limit=args.rate_limit, proxies=args.proxies, respect_robots=args.robots)
+        reuse = {"cache": PageCache(spark, args.cache_path, args.cache_ttl)} if args.cache else {}
         shared = {"top_k": args.top_k, "mode": args.mode, "semantic_weight": args.semantic_weight}
         if args.command == "crawl":
-            rows = api.crawl(spark, args.urls, args.query, options=options, min_text_length=args.min_text, **shared, **injected)
+            rows = api.crawl(spark, args.urls, args.query, options=options, min_text_length=args.min_text, **shared, **reuse, **injected)
         elif args.command == "deep":
             options.domain_rate_limits = _domain_rates(args.domain_rps)
             limits = CrawlLimits(args.depth, args.max_pages, args.max_per_domain, args.follow_external, not args.no_paginate, args.max_pagination, args.min_text, args.similarity)
-            rows = api.deep_search(spark, args.urls, args.query, limits, options=options, progress=None if args.no_progress else Progress(), **shared, **injected)
+            rows = api.deep_search(spark, args.urls, args.query, limits, options=options, progress=None if args.no_progress else Progress(), **shared, **reuse, **injected)
         elif args.command == "js":
             settings = {"wait_until": args.wait, "wait_for_selector": args.wait_for, "extra_wait_ms": args.extra_wait, "block_resources": not args.no_block, "proxy": (args.proxies or [None])[0]}
             rows = api.js_crawl(spark, args.urls, args.query, min_text_length=args.min_text, renderer=renderer, max_concurrent=args.max_concurrent, **settings, **shared)
         else:
-            rows = api.search_and_crawl(spark, args.query, provider, args.max_results, args.news, args.region, timelimit=args.timelimit, options=options, min_text_length=args.min_text, **shared, **injected)
+            rows = api.search_and_crawl(spark, args.query, provider, args.max_results, args.news, args.region, timelimit=args.timelimit, options=options, min_text_length=args.min_text, **shared, **reuse, **injected)
         if args.out:
             sinks.save(rows, args.out, fmt)
             say(f"saved to {args.out}")

@@ -34,18 +34,13 @@ def clean_text(text: Column) -> Column:
 
 
 def strip_html(html: Column, max_bytes: int = MAX_STRIP_BYTES) -> Column:
-    """Tags become spaces; scripts' text stays. Input counts up to ``max_bytes``."""
-    cut = F.when(F.octet_length(html) > max_bytes, F.rtrim(F.expr(f"make_valid_utf8(cast(substring(cast({_name(html)} as binary), 1, {max_bytes}) as string))"), F.lit("�"))).otherwise(html) if _name(html) else html
+    """Tags become spaces; scripts' text stays. Input counts up to ``max_bytes``, whatever expression it is."""
+    head = F.rtrim(F.make_valid_utf8(F.substring(html.cast("binary"), 1, max_bytes).cast("string")), F.lit("\ufffd"))
+    cut = F.when(F.octet_length(html) > max_bytes, head).otherwise(html)
     bare = F.regexp_replace(F.regexp_replace(cut, "<[^>]+>", " "), r"\s+", " ")
     return F.regexp_replace(bare, r"^[ \x00]+|[ \x00]+$", "")
 
 
-def _name(c: Column) -> str | None:
-    """The quoted name of a plain column."""
-    text = str(c)[len("Column<'") : -2]
-    return f"`{text}`" if re.fullmatch(r"\w+", text) else None
-
-
 def words(text: Column) -> Column:
     """Lower-case words between white space."""
     body = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _EDGE, "")
@@ -62,7 +57,7 @@ def shingle_hashes(word_list: Column, n: int = SHINGLE_WORDS) -> Column:
     ``word_list`` should be a column, as it is used twice: an expression would be repeated.
     """
     at = F.sequence(F.lit(0), F.greatest(F.size(word_list) - n, F.lit(0)))
-    all_ = F.array_sort(F.array_distinct(F.transform(at, lambda i: F.xxhash64(shingle_at(word_list, i, n)))))
+    all_ = F.array_sort(F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.slice(word_list, i + 1, n)))))
     return F.when(F.size(word_list) > 0, all_).otherwise(F.array().cast("array<bigint>"))
 
 

@@ -3,6 +3,9 @@
 Candidates share one of the first n - ceil(t n) + 1 shingle hashes of their sorted
 sets, which every pair at Jaccard t or above does, so only a part (1 - t) of the
 shingles is joined; equal sets are collapsed first. A pair is verified on whole sets.
+
+Only the query for pairs unfolds equal sets into pairs. The filter works on sets, whatever
+the number of pages that share one: a text repeated a million times is one set.
 """
 
 from __future__ import annotations
@@ -33,41 +36,60 @@ def _prefix(fp: Column, t: float) -> Column:
     return F.slice(fp, 1, F.size(fp) - F.ceil(F.size(fp) * t - 1e-9).cast("int") + 1)
 
 
-def similar_pairs(fps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b, jaccard) with a < b, over (id, fp) that is read several times."""
-    same = fps.groupBy("fp").agg(F.min("id").alias("rep"), F.collect_list("id").alias("ids"))
-    reps = staged(same.select(F.col("rep").alias("id"), "fp", "ids"), "fingerprints")
+def _near_sets(reps: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, jaccard) with a < b of unlike sets, over (id, fp) of distinct sets."""
     keys = reps.select("id", F.size("fp").alias("n"), F.explode_outer(_prefix(F.col("fp"), threshold)).alias("h"))
     a, b = keys.alias("a"), keys.alias("b")
     near = (F.col("a.n") >= F.col("b.n") * threshold - 1e-9) & (F.col("b.n") >= F.col("a.n") * threshold - 1e-9)
     found = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.id") < F.col("b.id")) & near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-    sets = reps.select("id", "fp", "ids")
-    x = sets.select(F.col("id").alias("a"), F.col("fp").alias("fa"), F.col("ids").alias("ia"))
-    y = sets.select(F.col("id").alias("b"), F.col("fp").alias("fb"), F.col("ids").alias("ib"))
-    checked = found.join(x, "a").join(y, "b").withColumn("jaccard", jaccard(F.col("fa"), F.col("fb"))).where(F.col("jaccard") >= threshold)
-    across = checked.select("jaccard", "ib", F.explode("ia").alias("i")).select("jaccard", "i", F.explode("ib").alias("j"))
-    inside = reps.where(F.size("ids") > 1).select("ids", F.explode("ids").alias("i")).select(F.lit(1.0).alias("jaccard"), "i", F.explode("ids").alias("j")).where("i < j")
+    x, y = reps.select(F.col("id").alias("a"), F.col("fp").alias("fa")), reps.select(F.col("id").alias("b"), F.col("fp").alias("fb"))
+    # the sets hold each hash once, so no array_distinct is needed
+    shared = F.size(F.array_intersect("fa", "fb"))
+    return found.join(x, "a").join(y, "b").select("a", "b", (shared / (F.size("fa") + F.size("fb") - shared)).alias("jaccard")).where(F.col("jaccard") >= threshold)
+
+
+def _sets(fps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, g): each page and the least page with its set; (id, fp) of those least pages."""
+    marked = fps.select("id", F.sha2(F.concat_ws(",", "fp"), 256).alias("digest"))
+    least = marked.groupBy("digest").agg(F.min("id").alias("g"))
+    of = staged(marked.join(least, "digest").select("id", "g"), "sets")
+    return of, staged(fps.join(of.where("id = g").select("id"), "id"), "fingerprints")
+
+
+def similar_pairs(fps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b, jaccard) with a < b, over (id, fp) that is read several times."""
+    of, reps = _sets(fps)
+    near = staged(_near_sets(reps, threshold), "near")
+    i, j = of.select(F.col("id").alias("i"), F.col("g").alias("a")), of.select(F.col("id").alias("j"), F.col("g").alias("b"))
+    across = near.join(i, "a").join(j, "b").select("i", "j", "jaccard")
+    inside = i.join(j, F.col("a") == F.col("b")).where("i < j").select("i", "j", F.lit(1.0).alias("jaccard"))
     return across.unionByName(inside).select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "jaccard")
 
 
-def greedy_keep(ids: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id) kept in order: each id without an earlier kept neighbour in edges (a, b), a before b.
+def greedy_keep(pages: DataFrame, near: DataFrame) -> DataFrame:
+    """(id) kept in order: each id without an earlier kept one that has its set, a set near it, or its url.
 
-    Every round decides all ids whose earlier neighbours are decided: those with a kept
-    one go, those with none left stay.
+    ``pages`` has (id, g, url), g being the set's name or null, url null where it has none; ``near`` has
+    (a, b) of near sets. Each round decides every page that has no earlier undecided one beside it, and
+    drops what these rule out; hot sets and urls are compared by their least page, never in pairs.
     """
-    open_ = staged(edges.select("a", "b").distinct(), "edges")
-    dropped = None
+    both = staged(near.select(F.col("a").alias("g"), F.col("b").alias("h")).unionByName(near.select(F.col("b").alias("g"), F.col("a").alias("h"))), "near")
+    open_, kept = staged(pages.select("id", "g", "url"), "open"), None
     while True:
-        late = open_.select(F.col("b").alias("id")).distinct()
-        sure = open_.select(F.col("a").alias("id")).distinct().join(late, "id", "left_anti")
-        gone = staged(open_.join(sure.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct(), "gone")
-        if gone.isEmpty():
-            break
-        dropped = gone if dropped is None else dropped.unionByName(gone)
-        left = open_.join(gone.select(F.col("id").alias("a")), "a", "left_anti").join(gone.select(F.col("id").alias("b")), "b", "left_anti")
-        open_ = staged(left, "edges")
-    return ids if dropped is None else ids.join(dropped, "id", "left_anti")
+        by_set = open_.where("g is not null").groupBy("g").agg(F.min("id").alias("first"))
+        by_url = open_.where("url is not null").groupBy("url").agg(F.min("id").alias("first_url"))
+        beside = both.join(by_set.withColumnRenamed("g", "h").withColumnRenamed("first", "other"), "h").groupBy("g").agg(F.min("other").alias("other"))
+        seen = open_.join(by_set.join(beside, "g", "left"), "g", "left").join(by_url, "url", "left")
+        sure = (F.coalesce("first", "id") == F.col("id")) & (F.coalesce("first_url", "id") == F.col("id")) & (F.coalesce("other", F.col("id") + 1) > F.col("id"))
+        now = staged(seen.where(sure).select("id", "g", "url"), "kept")
+        kept = now.select("id") if kept is None else kept.unionByName(now.select("id"))
+        sets = now.where("g is not null").select("g")
+        sets = sets.unionByName(both.join(sets.withColumnRenamed("g", "h"), "h").select("g")).distinct()
+        urls = now.where("url is not null").select("url").distinct()
+        left = open_.join(now.select("id"), "id", "left_anti").join(sets, "g", "left_anti").join(urls, "url", "left_anti")
+        open_ = staged(left.select("id", "g", "url"), "open")
+        if open_.isEmpty():
+            return kept
 
 
 def drop_seen_urls(pages: DataFrame, seen: DataFrame, url: str = "url") -> DataFrame:
@@ -88,13 +110,10 @@ def filter_duplicates(pages: DataFrame, order: str = "ord", threshold: float = T
     """
     if not 0.0 < threshold <= 1.0:
         raise ValueError("the threshold lies outside (0, 1]")
-    edges = similar_pairs(staged(fingerprints(pages, order, text), "shingles"), threshold).select("a", "b")
-    if "url" in pages.columns:
-        u = pages.where(F.coalesce("url", F.lit("")) != "").select(F.col(order).alias("id"), "url")
-        groups = u.groupBy("url").agg(F.collect_list("id").alias("ids")).where(F.size("ids") > 1)
-        pairs = groups.select("ids", F.explode("ids").alias("a")).select("a", F.explode("ids").alias("b")).where("a < b")
-        edges = edges.unionByName(pairs)
-    kept = greedy_keep(pages.select(F.col(order).alias("id")), edges)
+    of, reps = _sets(staged(fingerprints(pages, order, text), "shingles"))
+    url = F.when(F.col("url") != "", F.col("url")) if "url" in pages.columns else F.lit(None).cast("string")
+    rows = pages.select(F.col(order).alias("id"), url.alias("url")).join(of, "id", "left")
+    kept = greedy_keep(rows, _near_sets(reps, threshold))
     return pages.join(kept.withColumnRenamed("id", "__kept"), F.col(order) == F.col("__kept"), "left_semi")
 
 
@@ -109,7 +128,7 @@ class SeenState:
     def register(self, pages: DataFrame, order: str = "ord", text: str = "text") -> None:
         urls = staged(pages.where(F.coalesce("url", F.lit("")) != "").select("url").distinct(), "seen")
         fps = staged(fingerprints(pages, order, text), "kept")
-        self.urls = urls if self.urls is None else self.urls.unionByName(urls).distinct()
+        self.urls = urls if self.urls is None else staged(self.urls.unionByName(urls).distinct(), "seen")
         self.fps = fps if self.fps is None else self.fps.unionByName(fps)
 
     def content_duplicates(self, pages: DataFrame, order: str = "ord", text: str = "text") -> DataFrame:

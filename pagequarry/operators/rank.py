@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pagequarry.functions.text import chunks, query_tokens, tokens, words
 from pagequarry.schemas import DoubleType, StructField, StructType
+from pagequarry.staging import staged
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
 MODES = ("keyword", "semantic", "both")
@@ -19,19 +21,28 @@ MODES = ("keyword", "semantic", "both")
 Encoder = Callable[[list[str]], np.ndarray]
 
 
-def corpus_statistics(toks: DataFrame, column: str = "tokens") -> DataFrame:
-    """One row: pages n, mean length avgdl, mean idf of the vocabulary."""
-    size = toks.agg(F.count("*").alias("n"), F.avg(F.size(column)).alias("avgdl"))
-    df = document_frequency(toks, column)
-    idf = df.crossJoin(F.broadcast(size.select("n"))).select(_idf(F.col("n"), F.col("df")).alias("idf"))
-    return size.crossJoin(F.broadcast(idf.agg(F.avg("idf").alias("mean_idf"))))
-
-
 def document_frequency(toks: DataFrame, column: str = "tokens") -> DataFrame:
     """(token, df)."""
     return toks.select(F.explode(F.array_distinct(column)).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
 
 
+def corpus_statistics(pages: DataFrame, terms: list[str], text: str = "text") -> tuple[int, float | None, float | None, dict[str, int]]:
+    """(pages, mean length, mean idf of the vocabulary, df of each term), read in one pass over the texts.
+
+    A page adds one row under the empty token, which no text has, to carry its length; so one
+    shuffle of the vocabulary has everything. The answer is one row.
+    """
+    toks = pages.select(tokens(F.col(text)).alias("__t")).select(F.size("__t").alias("len"), F.explode(F.concat(F.array(F.lit("")), F.array_distinct("__t"))).alias("token"))
+    counted = toks.groupBy("token").agg(F.count("*").alias("df"), F.sum(F.when(F.col("token") == "", F.col("len"))).alias("total"))
+    counted = staged(counted, "vocabulary")
+    whole = counted.where("token = ''").first()
+    if whole is None:
+        return 0, None, None, dict.fromkeys(terms, 0)
+    n = F.lit(whole.df)
+    found = counted.where("token != ''").agg(F.avg(_idf(n, F.col("df"))).alias("mean_idf"), *[F.max(F.when(F.col("token") == t, F.col("df"))).alias(f"df{i}") for i, t in enumerate(terms)]).first()
+    return whole.df, whole.total / whole.df, found.mean_idf, {t: found[f"df{i}"] or 0 for i, t in enumerate(terms)}
+
+
 def _idf(n: Column, df: Column) -> Column:
     return F.log(n - df + 0.5) - F.log(df + 0.5)
 
@@ -43,25 +54,24 @@ def _equals(term: str) -> Callable[[Column], Column]:
 def bm25(pages: DataFrame, query: str, column: str = "bm25", text: str = "text") -> DataFrame:
     """Okapi BM25 of the query's tokens, repeated ones repeatedly; idf below zero becomes a share of the mean idf.
 
-    Only the vocabulary's document frequencies are shuffled; term frequencies of the
-    query's few tokens are counted in place.
+    The corpus is read once for its statistics, which enter the scores' expression as
+    constants; term frequencies of the query's few tokens are counted in place.
     """
     terms = Counter(query_tokens(query))
-    toks = pages.withColumn("__tokens", tokens(F.col(text)))
     if not terms:
         return pages.withColumn(column, F.lit(0.0))
-    stats = corpus_statistics(toks, "__tokens")
-    wanted = toks.select(*[F.count_if(F.array_contains("__tokens", t)).alias(f"__df{i}") for i, t in enumerate(terms)])
-    stats = stats.crossJoin(F.broadcast(wanted)).select(*[F.col(c).alias(c if c.startswith("__") else f"__{c}") for c in [*stats.columns, *wanted.columns]])
-    length = F.try_divide(F.size("__tokens"), F.col("__avgdl"))  # null where no page has a token
+    n, avgdl, mean_idf, df = corpus_statistics(pages, list(terms), text)
+    length = F.size("__tokens") / avgdl if avgdl else F.lit(None).cast("double")  # null where no page has a token
     total = F.lit(0.0)
-    for i, (t, times) in enumerate(terms.items()):
-        df = F.col(f"__df{i}")
-        idf = _idf(F.col("__n"), df)
-        idf = F.when(df == 0, 0.0).when(idf < 0, FLOOR * F.col("__mean_idf")).otherwise(idf)
+    for t, times in terms.items():
+        if not df[t]:
+            continue
+        idf = math.log(n - df[t] + 0.5) - math.log(df[t] + 0.5)
+        idf = FLOOR * mean_idf if idf < 0 else idf
         tf = F.size(F.filter("__tokens", _equals(t)))
-        total = total + times * F.coalesce(idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length)), F.lit(0.0))
-    return toks.crossJoin(F.broadcast(stats)).select(*pages.columns, total.alias(column))
+        total = total + times * F.coalesce(F.lit(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length)), F.lit(0.0))
+    # the tokens stay a column of their own until the score: merged into it they would be made once for each use
+    return pages.withColumn("__tokens", tokens(F.col(text))).select(*pages.columns, total.alias(column))
 
 
 def minmax(rows: DataFrame, column: str, out: str | None = None) -> DataFrame:
@@ -72,8 +82,14 @@ def minmax(rows: DataFrame, column: str, out: str | None = None) -> DataFrame:
 
 
 def keyword_score(pages: DataFrame, query: str, text: str = "text") -> DataFrame:
-    scored = minmax(bm25(pages, query, "__raw", text), "__raw", "keyword_score")
-    return scored.withColumn("keyword_score", F.round("keyword_score", 6)).drop("__raw")
+    """BM25 scaled over all pages to 0 to 1; the ends of the scale are one row, read in a pass of its own."""
+    if not query_tokens(query):
+        return pages.withColumn("keyword_score", F.lit(0.0))
+    scored = bm25(pages, query, "__raw", text)
+    ends = scored.agg(F.min("__raw").alias("lo"), F.max("__raw").alias("hi")).first()
+    if ends.lo is None or ends.hi - ends.lo < 1e-9:
+        return pages.withColumn("keyword_score", F.lit(0.0))
+    return scored.select(*pages.columns, F.round((F.col("__raw") - ends.lo) / (ends.hi - ends.lo), 6).alias("keyword_score"))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -95,6 +111,17 @@ def max_pool(rows: DataFrame, key: str, vector: str) -> DataFrame:
     return pooled.select(key, F.transform("__v", lambda s: s["__x"]).alias(vector))
 
 
+def pooled_cosines(chunked: list[list[str] | None], goal: np.ndarray, encoder: Encoder) -> np.ndarray:
+    """Cosine of ``goal`` with the component-wise maximum of each text's chunk vectors; all chunks go to the encoder in one call."""
+    parts = [x or [""] for x in chunked]
+    if not parts:
+        return np.zeros(0)
+    v = np.asarray(encoder([c for x in parts for c in x]), float)
+    v = np.maximum.reduceat(v, np.concatenate([[0], np.cumsum([len(x) for x in parts])[:-1]]), 0)
+    size = np.linalg.norm(v, axis=1) * np.linalg.norm(goal)
+    return np.divide(v @ goal, size, out=np.zeros(len(v)), where=size > 0)
+
+
 def semantic_score(pages: DataFrame, query: str, encoder: Encoder | None = None, text: str = "text") -> DataFrame:
     """Cosine of the query with each page's pooled chunks, scaled over all pages; zeros without an encoder."""
     if encoder is None:
@@ -105,13 +132,8 @@ def semantic_score(pages: DataFrame, query: str, encoder: Encoder | None = None,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for parts in b.column("__chunks").to_pylist():
-                v = np.asarray(encoder(parts or [""]), float).max(0)
-                size = np.linalg.norm(v) * np.linalg.norm(goal)
-                out.append(float(v @ goal / size) if size else 0.0)
             keep = b.drop_columns(["__chunks"])
-            yield pa.RecordBatch.from_arrays([*keep.columns, pa.array(out, pa.float64())], [*keep.schema.names, "__cos"])
+            yield pa.RecordBatch.from_arrays([*keep.columns, pa.array(pooled_cosines(b.column("__chunks").to_pylist(), goal, encoder), pa.float64())], [*keep.schema.names, "__cos"])
 
     scored = minmax(rows.mapInArrow(run, schema), "__cos", "semantic_score")
     return scored.withColumn("semantic_score", F.round("semantic_score", 6)).drop("__cos")

@@ -6,17 +6,27 @@ tables lack (robots bodies, sitemaps, content types), they are made from the row
 
 from __future__ import annotations
 
+import csv
+import io
+import json
+import re
+import sqlite3
+import tempfile
+import zlib
 from collections.abc import Callable
+from contextlib import closing
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pagequarry import sinks
 from pagequarry.functions import html as H
 from pagequarry.functions import text as X
 from pagequarry.functions import urls as U
 from pagequarry.operators import cache, crawl, dedup, pacing, rank
 from pagequarry.sources import fetch, providers, robots, sitemap
-from pagequarry.staging import stage_path, staged
+from pagequarry.staging import spread, stage_path, staged
 from pagequarry.streaming import stream
 
 QUERY = "thing ther reading thing tion"
@@ -40,8 +50,13 @@ def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _wide(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table for work that is heavy by the row: over all task slots also where it is one file."""
+    return spread(_t(spark, sf, name))
+
+
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
-    return _t(spark, sf, "documents").select(F.col("doc_id").alias("ord"), "text")
+    return _wide(spark, sf, "documents").select(F.col("doc_id").alias("ord"), "text")
 
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in X.STOP_WORDS) + "]"
@@ -151,37 +166,37 @@ def sitemap_base(spark, sf):
 
 @_query(r"SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ' || chr(0)) AS text FROM pages")
 def strip_html(spark, sf):
-    return _t(spark, sf, "pages").select("page_id", X.strip_html(F.col("html")).alias("text"))
+    return _wide(spark, sf, "pages").select("page_id", X.strip_html(F.col("html")).alias("text"))
 
 
 @_query(r"SELECT doc_id, trim(regexp_replace(text, '[\s\x0B\x1C-\x1F\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g')) AS text FROM documents")
 def clean_text(spark, sf):
-    return _t(spark, sf, "documents").select("doc_id", X.clean_text(F.col("text")).alias("text"))
+    return _wide(spark, sf, "documents").select("doc_id", X.clean_text(F.col("text")).alias("text"))
 
 
 @_query("SELECT page_id, CASE WHEN regexp_matches(html, '<html[^>]* lang=') THEN lower(split_part(regexp_extract(html, '<html[^>]* lang=\"([^\"]*)\"', 1), '-', 1)) END AS language FROM pages")
 def extract_language(spark, sf):
-    return H.parse(_t(spark, sf, "pages")).select("page_id", "language")
+    return H.parse(_wide(spark, sf, "pages")).select("page_id", "language")
 
 
 @_query(r"SELECT page_id, trim(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')) AS title FROM pages".replace('\\"', '"'))
 def extract_title(spark, sf):
-    return H.parse(_t(spark, sf, "pages")).select("page_id", "title")
+    return H.parse(_wide(spark, sf, "pages")).select("page_id", "title")
 
 
 @_query()
 def parse(spark, sf):
-    return H.parse(_t(spark, sf, "pages")).select("page_id", "url", "title", "text", "links", F.map_entries("meta").alias("meta"), "language")
+    return H.parse(_wide(spark, sf, "pages")).select("page_id", "url", "title", "text", "links", F.map_entries("meta").alias("meta"), "language")
 
 
 @_query()
 def parse_many(spark, sf):
-    return H.parse_many(providers.snapshot(spark, f"{sf}/pages.parquet")).select("ord", "url", "title", F.length("text").alias("n_chars"), F.size("links").alias("n_links"))
+    return H.parse_many(spread(providers.snapshot(spark, f"{sf}/pages.parquet"))).select("ord", "url", "title", F.length("text").alias("n_chars"), F.size("links").alias("n_links"))
 
 
 @_query()
 def extract_structured(spark, sf):
-    s = _t(spark, sf, "pages").select("page_id", H.extract_structured("html").alias("s"))
+    s = _wide(spark, sf, "pages").select("page_id", H.extract_structured("html").alias("s"))
     return s.select("page_id", F.map_entries("s.open_graph").alias("open_graph"), F.map_entries("s.twitter_card").alias("twitter_card"), "s.json_ld", F.size("s.tables").alias("n_tables"), "s.lists", "s.canonical", "s.favicon")
 
 
@@ -191,17 +206,17 @@ def extract_structured(spark, sf):
 @_query(f"SELECT doc_id, len(t) AS n_tokens, md5(array_to_string(t, ' ')) AS tokens_md5 FROM (SELECT doc_id, {_TOKENS} AS t FROM documents)")
 def tokenize(spark, sf):
     t = X.tokens(F.col("text"))
-    return _t(spark, sf, "documents").select("doc_id", t.alias("t")).select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.md5(F.concat_ws(" ", "t")).alias("tokens_md5"))
+    return _wide(spark, sf, "documents").select("doc_id", t.alias("t")).select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.md5(F.concat_ws(" ", "t")).alias("tokens_md5"))
 
 
 @_query(f"SELECT token, count(*) AS n FROM (SELECT unnest({_TOKENS}) AS token FROM documents) GROUP BY token")
 def term_frequency(spark, sf):
-    return _t(spark, sf, "documents").select(F.explode(X.tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    return _wide(spark, sf, "documents").select(F.explode(X.tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
 @_query(f"SELECT token, count(*) AS df FROM (SELECT unnest(list_distinct({_TOKENS})) AS token FROM documents) GROUP BY token")
 def document_frequency(spark, sf):
-    return rank.document_frequency(_t(spark, sf, "documents").select(X.tokens(F.col("text")).alias("tokens")))
+    return rank.document_frequency(_wide(spark, sf, "documents").select(X.tokens(F.col("text")).alias("tokens")))
 
 
 _SHINGLES = f"""
@@ -212,7 +227,7 @@ s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + {X.SHINGLE_WORDS - 1}], '
 
 @_query(f"WITH {_SHINGLES} SELECT doc_id, count(*) AS n_shingles FROM s GROUP BY doc_id")
 def shingles(spark, sf):
-    return dedup.fingerprints(_t(spark, sf, "documents"), "doc_id").select(F.col("id").alias("doc_id"), F.size("fp").cast("long").alias("n_shingles"))
+    return dedup.fingerprints(_wide(spark, sf, "documents"), "doc_id").select(F.col("id").alias("doc_id"), F.size("fp").cast("long").alias("n_shingles"))
 
 
 @_query(r"SELECT page_id, lower(regexp_extract(regexp_replace(url, '#.*$', ''), '^([A-Za-z][A-Za-z0-9+.\-]*://[^/?]*)', 1)) || substr(regexp_replace(url, '#.*$', ''), len(regexp_extract(regexp_replace(url, '#.*$', ''), '^([A-Za-z][A-Za-z0-9+.\-]*://[^/?]*)', 1)) + 1) AS url FROM pages")
@@ -268,10 +283,20 @@ def inc_path(spark, sf):
     return p.select("page_id", U.inc_path(F.col("url"), F.col("page_id") % 4).alias("next"))
 
 
-@_query(rf"""SELECT page_id, unnest(list_filter({_HREFS}, lambda u: lower(regexp_extract(u, '^[A-Za-z]+://([^/?#]*)', 1)) = {_AUTHORITY}
+_MADE_LINKS = f"[{_ROOT} || '/list?page=' || (page_id % 9), {_ROOT} || '/post/page/' || page_id || '/', {_ROOT} || '/about', {_ROOT} || '/a?q=1&PG=#x', 'https://x.example/?page=2', {_ROOT} || '/x?start=' || page_id || '#page']"
+
+
+def _made_links(spark, sf):
+    """The pages' own links lie in their navigation, which parsing leaves out; these are made from the rows."""
+    root, n = U.base(F.col("url")), F.col("page_id").cast("string")
+    links = F.array(F.concat(root, F.lit("/list?page="), (F.col("page_id") % 9).cast("string")), F.concat(root, F.lit("/post/page/"), n, F.lit("/")), F.concat(root, F.lit("/about")), F.concat(root, F.lit("/a?q=1&PG=#x")), F.lit("https://x.example/?page=2"), F.concat(root, F.lit("/x?start="), n, F.lit("#page")))
+    return _t(spark, sf, "pages").select("page_id", "url", links.alias("links"))
+
+
+@_query(rf"""SELECT page_id, unnest(list_filter({_MADE_LINKS}, lambda u: lower(regexp_extract(u, '^[A-Za-z]+://([^/?#]*)', 1)) = {_AUTHORITY}
  AND (regexp_matches(u, '(?i)/page?/?\d+/?$') OR regexp_matches(regexp_extract(u, '^([^#]*)', 1), '(?i)[?&](?:{U.PAGE_KEYS})=[^&#]')))) AS link FROM pages""")
 def detect_pagination_links(spark, sf):
-    return _href_lists(spark, sf).select("page_id", F.explode(U.detect_pagination(F.col("links"), F.col("url"))).alias("link"))
+    return _made_links(spark, sf).select("page_id", F.explode(U.detect_pagination(F.col("links"), F.col("url"))).alias("link"))
 
 
 @_query(rf"SELECT page_id, {_ROOT} || '/l?page=' || n AS url FROM pages, (VALUES (2), (3), (4), (5)) AS v(n)")
@@ -297,11 +322,18 @@ near AS (SELECT a, b, c / (x.n + y.n - c) AS jaccard FROM pairs JOIN n x ON x.do
 
 @_query(f"WITH {_NEAR} SELECT a, b, round(jaccard, 6) AS jaccard FROM near")
 def dedup_content(spark, sf):
-    fps = staged(dedup.fingerprints(_t(spark, sf, "documents"), "doc_id"), "shingles")
+    fps = staged(dedup.fingerprints(_wide(spark, sf, "documents"), "doc_id"), "shingles")
     return dedup.similar_pairs(fps).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
-@_query()
+@_query(f"""
+WITH RECURSIVE {_NEAR},
+late AS (SELECT b AS id, list(a) AS before, row_number() OVER (ORDER BY b) AS k FROM near GROUP BY b),
+walk(k, gone) AS (
+  SELECT 0::BIGINT, []::BIGINT[]
+  UNION ALL SELECT l.k, CASE WHEN len(list_filter(l.before, lambda x: NOT list_contains(w.gone, x))) > 0 THEN list_append(w.gone, l.id) ELSE w.gone END
+  FROM walk w JOIN late l ON l.k = w.k + 1)
+SELECT doc_id AS ord FROM documents WHERE doc_id NOT IN (SELECT unnest(gone) FROM (SELECT gone FROM walk ORDER BY k DESC LIMIT 1))""")
 def dedup_filter(spark, sf):
     return dedup.filter_duplicates(_docs(spark, sf)).select("ord")
 
@@ -347,17 +379,17 @@ k AS (SELECT doc_id, raw, round(CASE WHEN max(raw) OVER () - min(raw) OVER () <
 
 @_query(f"WITH {_BM25} SELECT doc_id, round(raw, 6)::DOUBLE AS bm25 FROM b")
 def bm25(spark, sf):
-    return rank.bm25(_t(spark, sf, "documents").select("doc_id", "text"), QUERY).select("doc_id", F.round("bm25", 6).alias("bm25"))
+    return rank.bm25(_wide(spark, sf, "documents").select("doc_id", "text"), QUERY).select("doc_id", F.round("bm25", 6).alias("bm25"))
 
 
 @_query(f"WITH {_BM25} SELECT doc_id, keyword_score::DOUBLE AS keyword_score FROM k")
 def keyword_score(spark, sf):
-    return rank.keyword_score(_t(spark, sf, "documents").select("doc_id", "text"), QUERY).select("doc_id", "keyword_score")
+    return rank.keyword_score(_wide(spark, sf, "documents").select("doc_id", "text"), QUERY).select("doc_id", "keyword_score")
 
 
 @_query(f"WITH {_BM25} SELECT doc_id, keyword_score::DOUBLE AS relevance_score FROM k ORDER BY keyword_score DESC, doc_id LIMIT 20")
 def rank_keyword_topk(spark, sf):
-    rows = rank.rank(_t(spark, sf, "documents").select("doc_id", "text"), QUERY, 20, "keyword", order="doc_id")
+    rows = rank.rank(_wide(spark, sf, "documents").select("doc_id", "text"), QUERY, 20, "keyword", order="doc_id")
     return rows.select("doc_id", "relevance_score")
 
 
@@ -391,7 +423,7 @@ WITH {_BM25}, c AS (SELECT vec_id, {_COS} AS cos FROM embeddings),
 s AS (SELECT vec_id, round((cos - min(cos) OVER ()) / (max(cos) OVER () - min(cos) OVER ()), 6) AS semantic_score FROM c)
 SELECT doc_id, round(round(0.7 * keyword_score + 0.3 * semantic_score, 6), 5)::DOUBLE AS relevance_score FROM k JOIN s ON k.doc_id = s.vec_id""")
 def rank_blend(spark, sf):
-    k = rank.keyword_score(_t(spark, sf, "documents").select("doc_id", "text"), QUERY).select("doc_id", "keyword_score")
+    k = rank.keyword_score(_wide(spark, sf, "documents").select("doc_id", "text"), QUERY).select("doc_id", "keyword_score")
     s = rank.minmax(_cosines(spark, sf), "cos", "semantic_score").select("vec_id", F.round("semantic_score", 6).alias("semantic_score"))
     both = rank.blend(k.join(s, F.col("doc_id") == F.col("vec_id")), "both", 0.3)
     return both.select("doc_id", rank.rounded(F.col("relevance_score"), 5).alias("relevance_score"))
@@ -402,7 +434,7 @@ WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 c AS (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 256, 0) + 1, 128)) AS i FROM w)
 SELECT doc_id, CAST(i // 128 AS INTEGER) AS chunk_no, md5(array_to_string(w[i + 1:i + 256], ' ')) AS chunk_md5 FROM c""")
 def chunk_text(spark, sf):
-    c = rank.chunk_texts(_t(spark, sf, "documents"), "doc_id")
+    c = rank.chunk_texts(_wide(spark, sf, "documents"), "doc_id")
     return c.select("doc_id", "chunk_no", F.md5("chunk").alias("chunk_md5"))
 
 
@@ -413,10 +445,19 @@ def max_pool(spark, sf):
     return rank.max_pool(_t(spark, sf, "embeddings"), "label", "embedding").select("label", F.posexplode("embedding").alias("i", "v"))
 
 
+def hashed_words(texts: list[str], width: int = 32) -> np.ndarray:
+    """A stand-in for a sentence encoder that needs no model: counts of words by a hash."""
+    out = np.zeros((len(texts), width))
+    for row, t in zip(out, texts):
+        for w in t.lower().split():
+            row[zlib.crc32(w.encode()) % width] += 1
+    return out
+
+
 @_query()
 def semantic_score(spark, sf):
-    pages = H.parse_many(providers.snapshot(spark, f"{sf}/pages.parquet"))
-    return rank.semantic_score(pages.select("ord", "text"), QUERY, None).select("ord", "semantic_score")
+    pages = H.parse_many(spread(providers.snapshot(spark, f"{sf}/pages.parquet"))).select("ord", "text")
+    return rank.semantic_score(staged(pages, "parsed"), QUERY, hashed_words).select("ord", "semantic_score")
 
 
 @_query("SELECT d.doc_id, CASE WHEN l.quality IS NOT NULL THEN l.quality ELSE 0.5 END::DOUBLE AS score FROM documents d LEFT JOIN (SELECT DISTINCT doc_id, quality FROM labels) l USING (doc_id)")
@@ -428,7 +469,7 @@ def score_update(spark, sf):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten best pages: parsed, scored by BM25, cut to the top."""
-    pages = H.parse_many(providers.snapshot(spark, f"{sf_dir}/pages.parquet")).select("ord", "url", "title", "text", "language")
+    pages = H.parse_many(spread(providers.snapshot(spark, f"{sf_dir}/pages.parquet"))).select("ord", "url", "title", "text", "language")
     return rank.rank(staged(pages, "parsed"), QUERY, 10, "keyword").select("ord", "url", "title", "language", "relevance_score")
 
 
@@ -451,11 +492,22 @@ def max_pages(spark, sf):
     return _t(spark, sf, "pages").select("page_id", "url").orderBy("page_id").limit(100)
 
 
-@_query()
+@_query(f"""
+WITH l AS (SELECT unnest({_MADE_LINKS}) AS u, {_AUTHORITY} AS d FROM pages),
+n AS (SELECT DISTINCT lower(regexp_extract(split_part(u, '#', 1), '^([A-Za-z]+://[^/?#]*)', 1)) || regexp_extract(split_part(u, '#', 1), '^[A-Za-z]+://[^/?#]*(.*)$', 1) AS url FROM l
+      WHERE lower(regexp_extract(u, '^[A-Za-z]+://([^/?#]*)', 1)) = d)
+SELECT url, 1 AS depth, 1 AS page_num FROM n""")
 def expand_links(spark, sf):
-    p = _href_lists(spark, sf).select(F.col("page_id").alias("ord"), F.col("url").alias("requested"), "url", "links", F.lit(0).alias("depth"), F.lit(1).alias("page_num"))
+    p = _made_links(spark, sf).select(F.col("page_id").alias("ord"), F.col("url").alias("requested"), "url", "links", F.lit(0).alias("depth"), F.lit(1).alias("page_num"))
     seen = p.select(U.normalize(F.col("requested")).alias("url"))
-    return crawl.expand(p, seen, None, crawl.CrawlLimits(follow_external=True, max_pages_per_domain=2147483647)).select("url", "depth", "page_num")
+    return crawl.expand(p, seen, None, crawl.CrawlLimits(paginate=False, max_pages_per_domain=2147483647)).select("url", "depth", "page_num")
+
+
+@_query(f"SELECT DISTINCT lower({_ROOT}) || '/s?p=4&q=' || (page_id % 50) AS url, 0 AS depth, 4 AS page_num FROM pages")
+def expand_pagination(spark, sf):
+    first = F.concat(U.base(F.col("url")), F.lit("/s?p=3&q="), (F.col("page_id") % 50).cast("string"))
+    p = _t(spark, sf, "pages").select(F.col("page_id").alias("ord"), first.alias("requested"), first.alias("url"), F.array().cast("array<string>").alias("links"), F.lit(0).alias("depth"), F.lit(3).alias("page_num"))
+    return crawl.expand(p, p.select("url"), None, crawl.CrawlLimits(max_pages_per_domain=2147483647)).select("url", "depth", "page_num")
 
 
 @_query()
@@ -532,17 +584,51 @@ def progress(spark, sf):
 # ---- sinks and streams
 
 
-@_query(f"WITH {_BM25} SELECT doc_id, 'doc:' || doc_id AS url, CAST(NULL AS VARCHAR) AS title, keyword_score::DOUBLE AS relevance_score, keyword_score::DOUBLE AS keyword_score, CAST(NULL AS DOUBLE) AS semantic_score, lang AS language FROM k JOIN documents USING (doc_id)")
+_REPORT = 100
+_TOP = f"""WITH {_BM25}, r AS (
+  SELECT row_number() OVER (ORDER BY keyword_score DESC, doc_id) AS n, 'doc:' || doc_id AS url, keyword_score::DOUBLE AS s, lang, text
+  FROM k JOIN documents USING (doc_id) ORDER BY n LIMIT {_REPORT})"""
+
+
+def _report(spark, sf):
+    """A top-k report as the sinks get it; they run on the driver, as their outputs are single files or strings."""
+    d = _wide(spark, sf, "documents").select("doc_id", "text", F.col("lang").alias("language"), F.concat(F.lit("doc:"), "doc_id").alias("url"), F.lit(None).cast("string").alias("title"))
+    return rank.rank(d, QUERY, _REPORT, "keyword", order="doc_id")
+
+
+@_query(f"{_TOP} SELECT url, s AS relevance_score, s AS keyword_score, lang AS language FROM r")
 def sink_csv(spark, sf):
-    d = _t(spark, sf, "documents").select("doc_id", "text", "lang")
-    r = rank.blend(rank.keyword_score(d, QUERY), "keyword")
-    return r.select("doc_id", F.concat(F.lit("doc:"), "doc_id").alias("url"), F.lit(None).cast("string").alias("title"), "relevance_score", "keyword_score", F.lit(None).cast("double").alias("semantic_score"), F.col("lang").alias("language"))
+    rows = list(csv.DictReader(io.StringIO(sinks.to_csv(_report(spark, sf)), newline="")))
+    return spark.createDataFrame([(r["url"], float(r["relevance_score"]), float(r["keyword_score"]), r["language"]) for r in rows], "url string, relevance_score double, keyword_score double, language string")
 
 
-@_query("SELECT doc_id, replace(left(text, 300), chr(10), ' ') || CASE WHEN length(text) > 300 THEN '...' ELSE '' END AS preview FROM documents")
+@_query(f"{_TOP} SELECT url, s AS relevance_score, md5(text) AS text_md5 FROM r")
+def sink_json(spark, sf):
+    rows = json.loads(sinks.to_json(_report(spark, sf)))
+    return spark.createDataFrame([(r["url"], r["relevance_score"], r["text"]) for r in rows], "url string, relevance_score double, text string").select("url", "relevance_score", F.md5("text").alias("text_md5"))
+
+
+@_query(f"""{_TOP} SELECT '[' || n || '] ' || url || chr(10) || '    Title     : N/A' || chr(10) || '    Language  : ' || lang || chr(10) || '    Relevance : ' || s || chr(10) || '    Keyword   : ' || s || chr(10)
+ || '    Semantic  : N/A' || chr(10) || '    Preview   : ' || replace(left(text, 300), chr(10), ' ') || CASE WHEN length(text) > 300 THEN '...' ELSE '' END AS block FROM r""")
 def sink_text(spark, sf):
-    cut = F.concat(F.replace(F.substring("text", 1, 300), F.lit("\n"), F.lit(" ")), F.when(F.length("text") > 300, "...").otherwise(""))
-    return _t(spark, sf, "documents").select("doc_id", cut.alias("preview"))
+    blocks = re.split(r"\n\n(?=\[\d+\] doc:)", sinks.to_text(_report(spark, sf)).rstrip("\n"))
+    return spark.createDataFrame([(b,) for b in blocks], "block string")
+
+
+@_query(f"""{_TOP} SELECT n || '. Untitled' AS heading, '- **URL**: [' || url || '](' || url || ')' AS url_line, '> ' || trim(replace(left(text, 500), chr(10), ' ') || CASE WHEN length(text) > 500 THEN '...' ELSE '' END) AS quote FROM r""")
+def sink_markdown(spark, sf):
+    parts = re.split(r"(?m)^## (?=\d+\. Untitled$)", sinks.to_markdown(_report(spark, sf)))[1:]
+    rows = [(p.split("\n", 1)[0], re.search(r"^- \*\*URL\*\*: .*$", p, re.M)[0], re.search(r"^> .*$", p, re.M)[0]) for p in parts]
+    return spark.createDataFrame(rows, "heading string, url_line string, quote string")
+
+
+@_query(f"{_TOP} SELECT n AS id, url, s AS relevance_score, CAST(NULL AS DOUBLE) AS semantic_score, lang AS language, md5(text) AS text_md5 FROM r")
+def sink_sqlite(spark, sf):
+    with tempfile.TemporaryDirectory() as d:  # the driver's own file: SQLite has one writer
+        sinks.to_sqlite(_report(spark, sf), f"{d}/pages.db")
+        with closing(sqlite3.connect(f"{d}/pages.db")) as db:
+            rows = db.execute("SELECT id, url, relevance_score, semantic_score, language, text FROM pages ORDER BY id").fetchall()
+    return spark.createDataFrame(rows, "id long, url string, relevance_score double, semantic_score double, language string, text string").withColumn("text_md5", F.md5("text")).drop("text")
 
 
 def _streamed(spark, stream_df, name: str) -> DataFrame:

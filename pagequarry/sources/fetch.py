@@ -1,8 +1,8 @@
 """Fetching pages on executors: retries, content types, robots, cache, proxies and pacing.
 
 All I/O goes through a transport, ``get(url, headers, timeout, proxy, verify) -> Response``,
-so tests and other clients can take the network's place. URLs are spread by host, which
-keeps a host's pacing and robots rules in one task.
+so tests and other clients can take the network's place. Where rates or robots rules are
+asked for, URLs are spread by host, which keeps a host's pacing and rules in one task.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import time
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
 from gzip import decompress
 from urllib.parse import urlparse
@@ -26,6 +27,7 @@ from pyspark.sql.types import StructType
 from pagequarry.functions.urls import authority
 from pagequarry.operators.pacing import RETRY_STATUSES
 from pagequarry.schemas import RAW_PAGE
+from pagequarry.staging import staged
 
 AGENT = "pagequarry/1.0"
 HEADERS = {"User-Agent": AGENT, "Accept": "text/html,application/xhtml+xml;q=0.9,*/*;q=0.5", "Accept-Language": "en;q=0.8,*;q=0.5", "Accept-Encoding": "gzip"}
@@ -178,34 +180,55 @@ class Pacer:
             self.last.clear()
 
 
-def fetch_pages(urls: DataFrame, options: FetchOptions | None = None, get: Transport = http_get, cached: DataFrame | None = None) -> DataFrame:
-    """Raw pages of (ord, url), with the same ord. ``cached`` (ord and raw page) is used instead of the network."""
+def fetch_pages(urls: DataFrame, options: FetchOptions | None = None, get: Transport = http_get, cached: DataFrame | None = None, cache=None) -> DataFrame:
+    """Raw pages of (ord, url), with the same ord.
+
+    ``cached`` (ord and raw page) is used instead of the network; so is a fresh page of ``cache``
+    (a PageCache), which gets what had to be fetched. ``options.connections`` requests are under
+    way at once: as many tasks as there are slots, and threads within a task for the rest. Hosts
+    stay together in a task only where a rate or their robots.txt counts for them.
+    """
     options = options or FetchOptions()
     if cached is not None:
         misses = urls.join(cached.select("ord"), "ord", "left_anti")
-        return cached.select(*RAW_PAGE.names).unionByName(fetch_pages(misses, options, get))
+        return cached.select(*RAW_PAGE.names).unionByName(fetch_pages(misses, options, get, cache=cache))
+    if cache is not None:
+        hits = staged(cache.lookup(urls), "cached")
+        new = staged(fetch_pages(urls.join(hits.select("ord"), "ord", "left_anti"), options, get), "fetched")
+        cache.store(new)
+        return hits.unionByName(new)
+    tasks = max(1, min(options.connections, urls.sparkSession.sparkContext.defaultParallelism))
+    threads = -(-options.connections // tasks)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pagequarry.sources.robots import RobotsRules
 
         pacer = Pacer(options.rate_limit, options.domain_rate_limits)
         robots = RobotsRules(get) if options.respect_robots else None
-        for frame in frames:
-            rows = []
-            for ord_, url in zip(frame.ord, frame.url):
-                proxy = options.proxies[int(ord_) % len(options.proxies)] if options.proxies else None
-                pacer.wait(url)
-                page = fetch_one(url, options, get, proxy, robots=robots)
-                rows.append((ord_, *page.values()))
-            yield pd.DataFrame(rows, columns=RAW_PAGE.names).astype({"status": "Int32"})
 
-    return urls.select("ord", "url").repartition(options.connections, authority(F.col("url"))).mapInPandas(run, RAW_PAGE)
+        def one(ord_: int, url: str) -> tuple:
+            proxy = options.proxies[int(ord_) % len(options.proxies)] if options.proxies else None
+            pacer.wait(url)
+            return (ord_, *fetch_one(url, options, get, proxy, robots=robots).values())
+
+        with ThreadPoolExecutor(threads) as pool:
+            for frame in frames:
+                lines: dict[object, list[tuple[int, str]]] = {}
+                for ord_, url in zip(frame.ord, frame.url):  # what a rate or robots.txt holds for goes one by one
+                    host = urlparse(url).netloc.lower()
+                    lines.setdefault(host if robots or pacer.by_domain.get(host, pacer.default) else (ord_, url), []).append((ord_, url))
+                done = pool.map(lambda line: [one(*x) for x in line], lines.values())
+                yield pd.DataFrame([r for rows in done for r in rows], columns=RAW_PAGE.names).astype({"status": "Int32"})
+
+    by_host = options.rate_limit or options.domain_rate_limits or options.respect_robots
+    dealt = urls.select("ord", "url").repartition(tasks, *([authority(F.col("url"))] if by_host else []))
+    return dealt.mapInPandas(run, RAW_PAGE)
 
 
-def fetch(spark: SparkSession, urls: list[str], options: FetchOptions | None = None, get: Transport = http_get) -> DataFrame:
+def fetch(spark: SparkSession, urls: list[str], options: FetchOptions | None = None, get: Transport = http_get, cache=None) -> DataFrame:
     """Raw pages of a list of urls; ord is the position."""
     validate_urls(urls)
-    return fetch_pages(spark.createDataFrame(list(enumerate(urls)), "ord long, url string"), options, get)
+    return fetch_pages(spark.createDataFrame(list(enumerate(urls)), "ord long, url string"), options, get, cache=cache)
 
 
 @dataclass

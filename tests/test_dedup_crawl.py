@@ -45,6 +45,13 @@ def test_filter_equals_the_sequential_rule(spark, threshold):
     assert got == brute(rows, threshold)
 
 
+def test_ten_thousand_equal_texts_are_one_set(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    near = text.replace("w39", "x")
+    rows = [(i, None if i % 2 else f"u{i % 7}", text) for i in range(10_000)] + [(10_000, "u0", near), (10_001, "z", "one other text")]
+    assert sorted(r.ord for r in D.filter_duplicates(frame(spark, rows)).collect()) == brute(rows[:20] + rows[-2:], D.THRESHOLD) == [0, 10_001]
+
+
 def test_chain_keeps_both_ends(spark):
     base = [f"w{i}" for i in range(60)]
     a, b, c = base[:50], base[4:54], base[8:58]

@@ -27,7 +27,7 @@ def test_flagship(spark, sf):
 
 def test_deep_crawl_keeps_seeds_in_order(spark, sf):
     rows = catalogue.queries()["deep_crawl"](spark, sf).orderBy("ord").collect()
-    assert 0 < len(rows) <= 100 and [r.ord for r in rows] == list(range(1, len(rows) + 1))
+    assert len(rows) > 0 and [r.ord for r in rows] == list(range(1, len(rows) + 1))
 
 
 def test_expand_links_has_no_domain_cap(spark, sf, monkeypatch):
@@ -49,3 +49,23 @@ def test_topk_is_a_bounded_sort_and_scan_is_pruned(spark, sf, capsys):
     plan = capsys.readouterr().out
     assert "TakeOrderedAndProject" in plan
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+
+
+def test_keyword_score_reads_its_table_three_times(spark, sf):
+    plan = catalogue.queries()["keyword_score"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 1 and plan.count("regexp_extract_all") <= 2  # two passes before it: the vocabulary, the scale's ends
+
+
+def test_semantic_score_equals_brute_force(spark, sf):
+    pages = catalogue.H.parse_many(catalogue.providers.snapshot(spark, f"{sf}/pages.parquet")).select("ord", "text").collect()
+    goal = catalogue.hashed_words([catalogue.QUERY])[0]
+    cos = {}
+    for r in pages:
+        w = (r.text or "").split()
+        parts = [" ".join(w[i : i + 256]) for i in range(0, max(len(w) - 256, 0) + 1, 128)]
+        v = catalogue.hashed_words(parts).max(0)
+        size = (v @ v) ** 0.5 * (goal @ goal) ** 0.5
+        cos[r.ord] = v @ goal / size if size else 0.0
+    low, high = min(cos.values()), max(cos.values())
+    got = {r.ord: r.semantic_score for r in catalogue.queries()["semantic_score"](spark, sf).collect()}
+    assert set(got) == set(cos) and all(abs(got[o] - (c - low) / (high - low)) < 2e-6 for o, c in cos.items())

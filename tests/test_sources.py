@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pagequarry import api
 from pagequarry.cli import main
 from pagequarry.operators import pacing
+from pagequarry.operators.cache import PageCache
 from pagequarry.progress import Progress, bar
 from pagequarry.sources import fetch as S
 from pagequarry.sources import providers, sitemap
@@ -90,6 +91,45 @@ def test_cached_pages_are_not_fetched(spark):
     assert [r.html for r in S.fetch_pages(urls, get=get, cached=cached).orderBy("ord").collect()] == ["old", "new"]
 
 
+def test_requests_overlap_within_a_task(spark):
+    def get(url, **_):
+        import time
+
+        began = time.time()
+        time.sleep(0.3)
+        return S.Response(200, url, {}, f"{began} {began + 0.3}".encode())
+
+    rows = S.fetch(spark, [f"http://h{i % 2}/{i}" for i in range(40)], S.FetchOptions(connections=20), get).collect()
+    assert sorted(r.ord for r in rows) == list(range(40)) and all(r.error is None for r in rows)
+    times = [tuple(map(float, r.html.split())) for r in rows]
+    at_once = max(sum(a <= t < b for a, b in times) for t, _ in times)
+    assert 4 < at_once <= 20  # the session has four slots
+
+
+def test_a_second_crawl_asks_nothing(spark, tmp_path):
+    log = tmp_path / "asked"
+
+    def get(url, **_):
+        with open(log, "a") as f:
+            f.write(url + "\n")
+        return S.Response(200, url, {}, f"<p>{url}</p>".encode())
+
+    def bodies(pages):
+        return [r.html for r in pages.orderBy("ord").collect()]
+
+    cache = PageCache(spark, f"file://{tmp_path}/pages")
+    urls = [f"http://h/{i}" for i in range(4)]
+    assert bodies(S.fetch(spark, urls, None, get, cache)) == [f"<p>{u}</p>" for u in urls] and len(log.read_text().split()) == 4
+    mixed = [*urls[::-1], "http://h/new"]
+    assert bodies(S.fetch(spark, mixed, None, get, cache)) == [f"<p>{u}</p>" for u in mixed]
+    assert log.read_text().split()[4:] == ["http://h/new"]
+    stale = PageCache(spark, cache.path, 1e-9)
+    assert stale.lookup(spark.createDataFrame([(0, urls[0])], "ord long, url string")).count() == 0
+    assert PageCache(spark, cache.path, 0).lookup(spark.createDataFrame([(5, urls[0])], "ord long, url string")).first().ord == 5
+    cache.clear()
+    assert cache.lookup(spark.createDataFrame([(0, urls[0])], "ord long, url string")).count() == 0
+
+
 def test_pacer():
     now = [0.0]
     p = S.Pacer(2.0, {"slow": 0.5, "free": 0}, clock=lambda: now[0], sleep=lambda s: now.__setitem__(0, now[0] + s))
