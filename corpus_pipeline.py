@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pagequarry.llm import byte_bpe, exact_dedup, mixing, ngram_join, toxicity
 from pagequarry.llm.shared import new_path
+from pagequarry.staging import spread
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,9 +48,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows; each stage is written as Parquet and reread."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for name, stage in STAGES:
         path = new_path(spark, name.replace(" ", "-"))
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = spread(spark.read.parquet(path))
     return docs
