@@ -8,8 +8,9 @@ In the mean an n-gram weighs as its rarity, log((n + 1) / documents with it), so
 that a few telling words aren't averaged away in a long text. A misspelling shares
 most n-grams with the right spelling and so most of its vector.
 
-The result doesn't hang on the seed: a fit runs until its loss has come down, and
-the model is the mean of several fits (the logit is linear in the n-grams).
+The result hardly hangs on the seed: a fit whose loss stays high is tried again for
+longer, up to three times, and the model is the mean of several fits (the logit is
+linear in the n-grams).
 
 For scoring, embedding and layer collapse into one number per n-gram bucket; a
 document's logit is the mean of these numbers plus a bias, computed for whole
