@@ -8,25 +8,28 @@ whose bound falls short of the overlap that the threshold demands are pruned by
 box, then by point; the survivors are verified on their whole sets.
 
 One R-tree over a corpus would be searched in quadratic time, as hashed counts of
-unlike documents lie close together. Therefore a forest is built: documents are
-candidates if one of BANDS bands of their one-permutation min-hashes agrees. At the
-threshold a pair is one with probability 0.9998, above it with more.
+unlike documents lie close together. Therefore a forest is built, of documents that
+share a rare n-gram: n-grams are put in one order, by the number of documents that
+have them. Two sets that reach the threshold have their first common n-gram within
+the first (1 - threshold) of either, and enough of both from there on, so documents
+are candidates if they meet in such an n-gram's bucket. No pair is left out by this,
+whatever the texts; n-grams of one document only (most are) make no bucket.
 
 Documents with one and the same set are collapsed beforehand to the least doc_id.
 The buckets of a family of near duplicates differ little, so buckets are put
-together by the least id within two steps, and each such place gets one tree: ids
-travel by bucket, a whole set only once to its place. Places over BLOCK_BYTES are
+together by the least id within two steps, and each such unit gets one tree: ids
+travel by bucket, a whole set only once to its unit. Units over BLOCK_BYTES are
 split, by their buckets or into pairs of blocks, whichever ships less, so that no
-task holds more than two blocks. A pair counts in the place of its first common
-band only, so it counts once.
+task holds more than two blocks. A pair counts in the least unit that both are in
+only, so it counts once.
 
 linked_documents returns classes and counts of links, a row for each linked
 document, so that its result and what it writes grow with the documents and not
 with the pairs; jaccard_pairs returns the pairs of the collapsed documents.
 
 Defined cases: rows without doc_id and texts without words take no part; a text
-of fewer than n words is one n-gram; of rows that share a doc_id the one with the
-largest set counts; pairs are (smaller id, larger id), never an id with itself;
+of fewer than n words is one n-gram; rows that share a doc_id are one document with
+the n-grams of them all; pairs are (smaller id, larger id), never an id with itself;
 an empty table gives an empty result; other columns are untouched.
 """
 
@@ -46,12 +49,11 @@ from .textkernel import U, chunks, gram_hashes, mix, string_buffers, word_bounds
 N = 3
 THRESHOLD = 0.5
 GROUPS = 32
-BANDS = 64
-ROWS = 3
 NODE = 16
 BLOCK_BYTES = 32 << 20
 PLACES_BROADCAST = 250_000  # rows of about 100 bytes
-_BINS = BANDS * ROWS
+PART_GRAMS = 2_000_000  # n-grams to a part of the shuffles that count them
+CLASSES = 2000
 
 
 def gram_sets(texts: pa.Array, n: int = N) -> tuple[np.ndarray, np.ndarray]:
@@ -76,34 +78,6 @@ def gram_sets(texts: pa.Array, n: int = N) -> tuple[np.ndarray, np.ndarray]:
     return grams, np.searchsorted(owner, np.arange(len(words) + 1))
 
 
-def signatures(grams: np.ndarray, borders: np.ndarray) -> np.ndarray:
-    """Band keys (texts x BANDS): one-permutation min-hashes, empty bins filled from others."""
-    docs = len(borders) - 1
-    size = np.diff(borders)
-    owner = np.repeat(np.arange(docs), size)
-    h = mix(grams ^ U(0xA5A5A5A5DEADBEEF))
-    bins = (h % U(_BINS)).astype(np.int64)
-    none = U(0xFFFFFFFFFFFFFFFF)
-    low = np.full(docs * _BINS, none)
-    np.minimum.at(low, owner * _BINS + bins, h >> U(8))
-    low = low.reshape(docs, _BINS)
-    r, c = np.nonzero((low == none) & (size > 0)[:, None])
-    filled = low.copy()
-    attempt = 0
-    while len(r):  # the probes for a bin are the same in every text
-        attempt += 1
-        probe = (mix(c.astype(U) * U(1315423911) + U(attempt)) % U(_BINS)).astype(np.int64)
-        got = low[r, probe]
-        ok = got != none
-        filled[r[ok], c[ok]] = got[ok]
-        r, c = r[~ok], c[~ok]
-    parts = filled.reshape(docs, BANDS, ROWS)
-    keys = np.zeros((docs, BANDS), U) + np.arange(1, BANDS + 1).astype(U) * U(0x9E3779B97F4A7C15)
-    for k in range(ROWS):
-        keys = mix(keys + parts[:, :, k])
-    return keys
-
-
 def counts(grams: np.ndarray, borders: np.ndarray) -> np.ndarray:
     """Points: how many of a text's n-grams fall into each group."""
     docs = len(borders) - 1
@@ -152,27 +126,25 @@ class RTree:
 
 
 class Place:
-    """Documents that meet in one tree: their sets, band keys and the bands whose bucket is here."""
+    """Documents that meet in one tree: their sets, the lesser units each is in, and their blocks where the unit is split."""
 
-    def __init__(self, ids: np.ndarray, keys: np.ndarray, masks: np.ndarray, sets: list[np.ndarray], blocks: np.ndarray | None = None) -> None:
-        self.ids, self.keys, self.masks, self.blocks = ids, keys, masks, blocks
+    def __init__(self, ids: np.ndarray, lesser: list[frozenset], sets: list[np.ndarray], blocks: np.ndarray | None = None) -> None:
+        self.ids, self.lesser, self.blocks = ids, lesser, blocks
+        self.elsewhere = np.array([bool(x) for x in lesser])
         self.sizes = np.array([len(x) for x in sets])
         self.border = np.concatenate([[0], np.cumsum(self.sizes)])
         self.flat = np.concatenate(sets)
         self.rank: np.ndarray | None = None
 
     def _candidates(self, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs that the tree leaves and whose first common band is one of this place."""
+        """Pairs that the tree leaves and that meet in no lesser unit."""
         for i, j in RTree(counts(self.flat, self.border), self.sizes).pairs(threshold):
             if self.blocks is not None:
                 across = self.blocks[i] != self.blocks[j]
                 i, j = i[across], j[across]
-            mine = np.empty(len(i), bool)
-            for k in range(0, len(i), 50_000):
-                a, b = i[k : k + 50_000], j[k : k + 50_000]
-                same = self.keys[a] == self.keys[b]
-                band = same.argmax(1)
-                mine[k : k + 50_000] = same[np.arange(len(a)), band] & ((self.masks[a] >> band.astype(U)) & U(1)).astype(bool)
+            mine = ~(self.elsewhere[i] & self.elsewhere[j])
+            for k in np.flatnonzero(~mine).tolist():
+                mine[k] = self.lesser[i[k]].isdisjoint(self.lesser[j[k]])
             if mine.any():
                 yield i[mine], j[mine]
 
@@ -230,88 +202,214 @@ class Place:
         return total, least[lab]
 
 
+def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Rows with their sets end to end and the sets' borders, from a column of texts or one of sets."""
+    for b in batches:
+        if "grams" in b.schema.names:
+            data, offs = string_buffers(b.column("grams"))
+            yield b, data.view(U), offs // 8
+            continue
+        for part in chunks(b, "text"):
+            yield part, *gram_sets(part.column("text"), n)
+
+
+def _bytes_of(grams: np.ndarray, borders: np.ndarray) -> pa.Array:
+    return pa.array([grams[x:y].tobytes() for x, y in zip(borders[:-1], borders[1:])], pa.binary())
+
+
 def _signed(docs: DataFrame, n: int) -> DataFrame:
-    """(id, size, h1, h2, keys) of each text with words: its set's size and hashes, its band keys."""
+    """(id, size, h1, h2) of each document with words: its set's size and hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part in chunks(b, "text"):
-                grams, borders = gram_sets(part.column("text"), n)
-                size = np.diff(borders)
-                sums = [np.concatenate([[U(0)], np.cumsum(mix(grams + U(s)))]) for s in (11, 23)]
-                cols = [part.column("id"), pa.array(size.astype(np.int32)), *(pa.array((x[borders[1:]] - x[borders[:-1]]).view(np.int64)) for x in sums)]
-                cols.append(pa.array([x.tobytes() for x in signatures(grams, borders)], pa.binary()))
-                yield pa.RecordBatch.from_arrays(cols, ["id", "size", "h1", "h2", "keys"]).filter(pa.array(size > 0))
+        for rows, grams, borders in _sets(batches, n):
+            size = np.diff(borders)
+            sums = [np.concatenate([[U(0)], np.cumsum(mix(grams + U(s)))]) for s in (11, 23)]
+            cols = [rows.column("id"), pa.array(size.astype(np.int32)), *(pa.array((x[borders[1:]] - x[borders[:-1]]).view(np.int64)) for x in sums)]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "size", "h1", "h2"]).filter(pa.array(size > 0))
 
-    return docs.mapInArrow(run, "id long, size int, h1 long, h2 long, keys binary")
+    return docs.mapInArrow(run, "id long, size int, h1 long, h2 long")
 
 
 def _with_sets(docs: DataFrame, n: int) -> DataFrame:
-    """docs (id, text, places) with the text's band keys and set of n-grams in the place of the text."""
+    """docs with the set of n-grams in the place of the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, grams, borders in _sets(batches, n):
+            cols = [*(rows.column(c) for c in kept), _bytes_of(grams, borders)]
+            yield pa.RecordBatch.from_arrays(cols, [*kept, "grams"]).filter(pa.array(np.diff(borders) > 0))
+
+    kept = [c for c in docs.columns if c not in ("text", "grams")]
+    return docs.mapInArrow(run, added(docs.select(kept).schema, grams=BinaryType()))
+
+
+def _merged(docs: DataFrame, n: int) -> DataFrame:
+    """(id, grams): the n-grams of all rows that share an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in chunks(b, "text"):
-                grams, borders = gram_sets(part.column("text"), n)
-                cols = [part.column("id"), part.column("places"), pa.array([x.tobytes() for x in signatures(grams, borders)], pa.binary()), pa.array([grams[x:y].tobytes() for x, y in zip(borders[:-1], borders[1:])], pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["id", "places", "keys", "grams"]).filter(pa.array(np.diff(borders) > 0))
+            for i, sets in zip(b.column("id").to_pylist(), b.column("sets").to_pylist()):
+                grams = np.unique(np.concatenate([np.frombuffer(x, U) for x in sets]))
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([grams.tobytes()], pa.binary())], ["id", "grams"])
+
+    return _with_sets(docs, n).groupBy("id").agg(F.collect_list("grams").alias("sets")).mapInArrow(run, "id long, grams binary")
+
+
+_DEALT = "part int, origin int, blob binary"
 
-    rows = docs.select("id", "places", "text")
-    return rows.mapInArrow(run, added(rows.select("id", "places").schema, keys=BinaryType(), grams=BinaryType()))
 
+def _dealt(to: np.ndarray, origin: int, *columns: np.ndarray) -> pa.RecordBatch:
+    """The columns' values by part, one blob a part; bytes of equal place lie together, so that they compress."""
+    order = np.argsort(to.astype(np.uint16) if len(to) and to.max() < 1 << 16 else to, kind="stable")
+    columns = tuple(x[order] for x in columns)
+    size = np.bincount(to)
+    cut = np.concatenate([[0], np.cumsum(size)])
+    some = np.flatnonzero(size)
+    blobs = [b"".join(x[cut[k] : cut[k + 1]].view(np.uint8).reshape(-1, x.itemsize).T.tobytes() for x in columns) for k in some]
+    return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), origin, np.int32)), pa.array(blobs, pa.binary())], ["part", "origin", "blob"])
 
-def _buckets(reps: DataFrame) -> DataFrame:
-    """(members, band): documents that share a band's key, each list of them once with its first band."""
-    spark = reps.sparkSession
-    parts = partitions(reps)
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _undealt(blobs: list[bytes], *kinds: type) -> list[np.ndarray]:
+    """The columns that _dealt put into blobs."""
+    width = [np.dtype(k).itemsize for k in kinds]
+    found: list[list[np.ndarray]] = [[np.zeros(0, k)] for k in kinds]
+    for blob in blobs:
+        n, at = len(blob) // sum(width), 0
+        for held, kind, w in zip(found, kinds, width):
+            planes = np.frombuffer(blob, np.uint8, n * w, at).reshape(w, n)
+            held.append(np.ascontiguousarray(planes.T).view(kind).ravel())
+            at += n * w
+    return [np.concatenate(x) for x in found]
+
+
+def _by_part(batches: Iterator[pa.RecordBatch]) -> dict[int, list[tuple[int, bytes]]]:
+    """{part: [(origin, blob)]} of one task."""
+    out: dict[int, list[tuple[int, bytes]]] = {}
+    for b in batches:
+        for part, origin, blob in zip(*(b.column(c).to_pylist() for c in ("part", "origin", "blob"))):
+            out.setdefault(part, []).append((origin, blob))
+    return out
+
+
+def _pieces(length: int, step: int = 1_000_000) -> list[slice]:
+    return [slice(k, k + step) for k in range(0, length, step)]
+
+
+def _buckets(docs: list[DataFrame], reps: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(ids): sorted documents that may first meet in an n-gram, each list once.
+
+    N-grams go to parts by their hash and are counted there; those that several documents
+    have come back to the documents, which choose the first in order and send these out once
+    more. Within a part 32 bits stand for an n-gram: where two are taken for one, their
+    documents are candidates too many, and none is lost, as all of them count in the order.
+    """
+    total = reps.agg(F.sum("size")).first()[0] or 0
+    parts = max(partitions(reps), -(-total // PART_GRAMS))
+    low, share = U(0xFFFFFFFF), threshold / (1 + threshold)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flush() -> pa.RecordBatch:
-            ids = np.concatenate([x for x, _ in held])
-            keys = np.concatenate([y for _, y in held])
+            grams, ids = (np.concatenate([x[k] for x in held]) for k in (0, 1))
             held.clear()
-            rows = np.empty(keys.size, [("key", U), ("id", np.int64), ("band", np.uint8)])
-            rows["key"], rows["id"], rows["band"] = keys.ravel(), np.repeat(ids, BANDS), np.tile(np.arange(BANDS, dtype=np.uint8), len(ids))
-            to = (rows["key"] >> U(32)).astype(np.int64) % parts
-            rows = rows[np.argsort(to, kind="stable")]
-            cut = np.concatenate([[0], np.cumsum(np.bincount(to, minlength=parts))])
-            some = [k for k in range(parts) if cut[k] < cut[k + 1]]
-            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([rows[cut[k] : cut[k + 1]].tobytes() for k in some], pa.binary())], ["part", "blob"])
+            return _dealt(((grams >> U(32)) % U(parts)).astype(np.int64), 0, (grams & low).astype(np.uint32), ids)
 
-        for b in batches:
-            data, _ = string_buffers(b.column("keys"))
-            held.append((b.column("id").to_numpy(), data.view(U).reshape(-1, BANDS).copy()))
-            if sum(len(x) for x, _ in held) >= 20_000:
+        for rows, grams, borders in _sets(batches, n):
+            if len(grams):
+                held.append((grams, np.repeat(rows.column("id").to_numpy(), np.diff(borders))))
+            if sum(len(x) for x, _ in held) >= 1_000_000:
                 yield flush()
         if held:
             yield flush()
 
+    def home(ids: np.ndarray) -> np.ndarray:
+        return (mix(ids.view(U)) % U(parts)).astype(np.int64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, blobs in _by_part(batches).items():
+            key, ids = _undealt([x for _, x in blobs], np.uint32, np.int64)
+            blobs.clear()
+            order = np.argsort(key, kind="stable")
+            key, ids = key[order], ids[order]
+            times = np.diff(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])))
+            times = np.repeat(times, times).astype(np.uint32)
+            some = times > 1
+            key, ids, times = key[some], ids[some], times[some]
+            for at in _pieces(len(ids)):
+                yield _dealt(home(ids[at]), part, key[at], times[at], ids[at])
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, size = b.column("id").to_numpy(), b.column("size").to_numpy()
+            if len(ids):
+                yield _dealt(home(ids), -1, ids, size)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for blobs in _by_part(batches).values():
+            docs, sizes = _undealt([x for o, x in blobs if o < 0], np.int64, np.int32)
+            given = [(o, *_undealt([x], np.uint32, np.uint32, np.int64)) for o, x in blobs if o >= 0]
+            blobs.clear()
+            if not given:
+                continue
+            origin = np.repeat(np.array([x[0] for x in given], np.int32), [len(x[1]) for x in given])
+            key, times, ids = (np.concatenate([x[k] for x in given]) for k in (1, 2, 3))
+            del given
+            order = np.argsort(docs)
+            docs, sizes = docs[order], sizes[order].astype(np.int64)
+            order = np.lexsort((key, origin, times, ids))
+            key, origin, ids = key[order], origin[order], ids[order]
+            first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+            length = np.diff(np.concatenate([first, [len(ids)]]))
+            size = sizes[np.searchsorted(docs, ids[first])]
+            place = np.arange(len(ids)) - np.repeat(first - (size - length), length)  # those of one document only come first
+            size = np.repeat(size, length)
+            for k in (1 + np.flatnonzero((ids[1:] == ids[:-1]) & (key[1:] == key[:-1]) & (origin[1:] == origin[:-1]))).tolist():
+                place[k] = place[k - 1]
+            some = place <= size - np.ceil(threshold * size - 1e-9)
+            key, origin, ids, size, place = (x[some] for x in (key, origin, ids, size.astype(np.int32), place.astype(np.int32)))
+            for at in _pieces(len(ids)):
+                yield _dealt(origin[at].astype(np.int64), 0, key[at], ids[at], size[at], place[at])
+
+    def may_link(size_a: np.ndarray, place_a: np.ndarray, size_b: np.ndarray, place_b: np.ndarray) -> np.ndarray:
+        return np.minimum(size_a - place_a, size_b - place_b) >= share * (size_a + size_b) - 1e-9
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = [("key", U), ("id", np.int64), ("band", np.uint8)]
-        blobs = [np.frombuffer(x, kind) for b in batches for x in b.column("blob").to_pylist()]
-        if not blobs:
-            return
-        rows = np.concatenate(blobs)
-        del blobs
-        rows = rows[np.argsort(rows["key"])]
-        cut = np.flatnonzero(np.concatenate([[True], rows["key"][1:] != rows["key"][:-1], [True]]))
-        many = np.flatnonzero(np.diff(cut) > 1)
-        lists: dict[bytes, int] = {}
-        for s, e in zip(cut[many].tolist(), cut[many + 1].tolist()):
-            ids = np.sort(rows["id"][s:e]).tobytes()
-            band = int(rows["band"][s])
-            lists[ids] = min(band, lists.get(ids, band))
-        for some in (list(lists)[k : k + 5000] for k in range(0, len(lists), 5000)):
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary()), pa.array([lists[x] for x in some], pa.int32())], ["ids", "band"])
-
-    packed = reps.select("id", "keys").mapInArrow(pack, "part int, blob binary").repartitionById(parts, "part")
-    return packed.mapInArrow(meet, "ids binary, band int").groupBy("ids").agg(F.min("band").alias("band"))
+        for blobs in _by_part(batches).values():
+            key, ids, size, place = _undealt([x for _, x in blobs], np.uint32, np.int64, np.int32, np.int32)
+            blobs.clear()
+            order = np.lexsort((ids, key))
+            key, ids, size, place = key[order], ids[order], size[order].astype(np.int64), place[order].astype(np.int64)
+            cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+            length = np.diff(cut)
+            a = cut[:-1][length == 2]
+            a = a[(ids[a] != ids[a + 1]) & may_link(size[a], place[a], size[a + 1], place[a + 1])]
+            lists = {x.tobytes() for x in np.stack([ids[a], ids[a + 1]], 1)}
+            for s, e in zip(cut[:-1][length > 2].tolist(), cut[1:][length > 2].tolist()):
+                kinds, which, times = np.unique(size[s:e] << 32 | place[s:e], return_inverse=True, return_counts=True)
+                here = ids[s:e]
+                if len(kinds) <= CLASSES:  # those without a partner go
+                    x, y = kinds >> 32, kinds & 0xFFFFFFFF
+                    may = may_link(x[:, None], y[:, None], x, y)
+                    may[np.arange(len(x)), np.arange(len(x))] &= times > 1
+                    here = here[may.any(1)[which]]
+                here = np.unique(here)
+                if len(here) > 1:
+                    lists.add(here.tobytes())
+            some = sorted(lists)
+            for at in _pieces(len(some), 5000):
+                yield pa.RecordBatch.from_arrays([pa.array(some[at], pa.binary())], ["ids"])
+
+    sent = docs[0].mapInArrow(send, _DEALT)
+    for more in docs[1:]:
+        sent = sent.unionByName(more.mapInArrow(send, _DEALT))
+    counted = sent.repartitionById(parts, "part").mapInArrow(count, _DEALT)
+    known = counted.unionByName(reps.select("id", "size").mapInArrow(measure, _DEALT))
+    chosen = known.repartitionById(parts, "part").mapInArrow(choose, _DEALT)
+    return chosen.repartitionById(parts, "part").mapInArrow(meet, "ids binary").distinct()
 
 
 def _members(buckets: DataFrame) -> DataFrame:
-    """(bucket, band, least, id): a bucket's documents and the least of them."""
+    """(bucket, least, id): a bucket's documents and the least of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -319,18 +417,17 @@ def _members(buckets: DataFrame) -> DataFrame:
             if not ids:
                 continue
             size = np.array([len(x) for x in ids])
-            cols = [np.repeat(b.column(c).to_numpy(), size) for c in ("bucket", "band")] + [np.repeat([x[0] for x in ids], size), np.concatenate(ids)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["bucket", "band", "least", "id"])
+            cols = [np.repeat(b.column("bucket").to_numpy(), size), np.repeat([x[0] for x in ids], size), np.concatenate(ids)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["bucket", "least", "id"])
 
-    return buckets.select(F.xxhash64("ids", "band").alias("bucket"), "band", "ids").mapInArrow(run, "bucket long, band int, least long, id long")
+    return buckets.select(F.xxhash64("ids").alias("bucket"), "ids").mapInArrow(run, "bucket long, least long, id long")
 
 
 def _placed(buckets: DataFrame, reps: DataFrame) -> DataFrame:
-    """(id, size, places): the places of each document; a place is (place, block, split, mask, weight).
+    """(id, size, units, places): the units and places of each document; a place is (place, unit, block, split, weight).
 
-    Only ids and sizes are shuffled here. ``mask`` has a bit for each band whose bucket of the
-    document is in that place; where a place is split, ``split`` is set and only pairs of unlike
-    blocks count, but for the places of one block with itself.
+    Only ids and sizes are shuffled here. Where a unit is split, ``split`` is set and only pairs
+    of unlike blocks count, but for the places of one block with itself.
     """
     m = _members(buckets)
     near = m.groupBy("id").agg(F.min("least").alias("near")).join(reps.select("id", "size", "weight"), "id")
@@ -346,13 +443,13 @@ def _placed(buckets: DataFrame, reps: DataFrame) -> DataFrame:
     apart = F.coalesce("apart", F.lit(False))
     unit = F.when(apart, F.xxhash64(F.lit("bucket"), "bucket")).otherwise(F.xxhash64(F.lit("family"), "family"))
     n = F.coalesce(F.when(apart, blocks("bucket_bytes")).otherwise(blocks("family_bytes")), F.lit(1)).cast("int")
-    m = m.select("id", "size", "weight", unit.alias("unit"), n.alias("n"), F.expr("shiftleft(1L, band)").alias("bit"))
-    m = m.groupBy("unit", "id").agg(F.first("size").alias("size"), F.first("weight").alias("weight"), F.first("n").alias("n"), F.bit_or("bit").alias("mask"))
+    m = m.select("id", "size", "weight", unit.alias("unit"), n.alias("n"))
+    m = m.groupBy("unit", "id").agg(F.first("size").alias("size"), F.first("weight").alias("weight"), F.first("n").alias("n"))
     m = m.withColumn("block", F.pmod(F.xxhash64("id", "unit"), F.col("n")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     at = F.when(F.col("n") == 1, F.col("unit")).otherwise(F.xxhash64("unit", F.least("block", "other"), F.greatest("block", "other")))
-    place = F.struct(at.alias("place"), "block", (F.col("block") != F.col("other")).alias("split"), "mask", "weight")
+    place = F.struct(at.alias("place"), "unit", "block", (F.col("block") != F.col("other")).alias("split"), "weight")
     # the block with itself and with another are different places, so `split` is one value in each
-    return m.groupBy("id").agg(F.first("size").alias("size"), F.collect_list(place).alias("places"))
+    return m.groupBy("id").agg(F.first("size").alias("size"), F.collect_set("unit").alias("units"), F.collect_list(place).alias("places"))
 
 
 def _search(rows: DataFrame, threshold: float, summary: bool) -> DataFrame:
@@ -365,7 +462,8 @@ def _search(rows: DataFrame, threshold: float, summary: bool) -> DataFrame:
 
         def close() -> Iterator[pa.RecordBatch]:
             if len(held) > 1:
-                here = Place(np.array([x[1] for x in held]), np.stack([np.frombuffer(x[6], U) for x in held]), np.array([x[4] for x in held], np.int64).view(U), [np.frombuffer(x[7], U) for x in held], np.array([x[2] for x in held]) if held[0][3] else None)
+                lesser = [frozenset(u for u in x[6] if u < x[4]) for x in held]
+                here = Place(np.array([x[1] for x in held]), lesser, [np.frombuffer(x[7], U) for x in held], np.array([x[2] for x in held]) if held[0][3] else None)
                 if summary:
                     links, root = here.links(threshold, np.array([x[5] for x in held], np.int64))
                     some = links > 0
@@ -384,7 +482,7 @@ def _search(rows: DataFrame, threshold: float, summary: bool) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
 
         for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in ("place", "id", "block", "split", "mask", "weight", "keys", "grams"))):
+            for row in zip(*(b.column(c).to_pylist() for c in ("place", "id", "block", "split", "unit", "weight", "units", "grams"))):
                 if held and held[0][0] != row[0]:
                     yield from close()
                     if len(done) > 1000:
@@ -402,26 +500,24 @@ def _joined(docs: DataFrame, n: int, threshold: float, summary: bool) -> tuple[D
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.lower("text").alias("text")).where("id is not null and text is not null")
     feats = stash(_signed(texts, n), "signatures")
     again = stash(feats.groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1").select("id"), "repeated-ids")
-    repeated = not again.isEmpty()
-    if repeated:  # of rows that share an id the one with the largest set
-        best = feats.join(ids_for_join(again), "id", "left_semi").groupBy("id").agg(F.min(F.struct((-F.col("size")).alias("size"), "keys", "h1", "h2")).alias("x"))
-        best = best.select("id", (-F.col("x.size")).alias("size"), "x.h1", "x.h2", "x.keys")
-        feats = stash(feats.join(ids_for_join(again), "id", "left_anti").unionByName(best), "signatures")
+    sources = [texts]
+    if not again.isEmpty():  # rows that share an id are one document
+        hot = ids_for_join(again)
+        sources = [texts.join(hot, "id", "left_anti"), stash(_merged(texts.join(hot, "id", "left_semi"), n), "merged-sets")]
+        feats = stash(feats.join(hot, "id", "left_anti").unionByName(_signed(sources[1], n)), "signatures")
     own = ["size", "h1", "h2"]
     alike = stash(feats.groupBy(*own).agg(F.min("id").alias("rep"), F.count("*").alias("copies")).where("copies > 1"), "same-sets")
     marked = feats.join(ids_for_join(alike), own, "left")
     same = stash(marked.where("id != rep").select("rep", "id"), "same-set-members")
-    reps = stash(marked.where("rep is null or id = rep").select("id", "size", "keys", F.coalesce("copies", F.lit(1)).alias("weight")), "representatives")
-    buckets = stash(_buckets(reps), "buckets")
+    reps = stash(marked.where("rep is null or id = rep").select("id", "size", F.coalesce("copies", F.lit(1)).alias("weight")), "representatives")
+    copies = ids_for_join(same.select("id"))
+    buckets = stash(_buckets([x.join(copies, "id", "left_anti") for x in sources], reps, n, threshold), "buckets")
     places = stash(_placed(buckets, reps), "places")
-    shipped = (places.agg(F.sum((F.col("size") * 8 + 8 * BANDS) * F.size("places"))).first() or [0])[0] or 0
-    found = _with_sets(texts.join(ids_for_join(places.drop("size"), PLACES_BROADCAST), "id"), n)
-    if repeated:
-        hot = ids_for_join(again)
-        best = found.join(hot, "id", "left_semi").groupBy("id").agg(F.min(F.struct((-F.length("grams")).alias("n"), "keys", "grams", "places")).alias("x")).select("id", "x.places", "x.keys", "x.grams")
-        found = found.join(hot, "id", "left_anti").unionByName(best)
+    shipped = (places.agg(F.sum((F.col("size") + F.size("units")) * 8 * F.size("places"))).first() or [0])[0] or 0
+    found = [_with_sets(x.join(ids_for_join(places.drop("size"), PLACES_BROADCAST), "id"), n) for x in sources]
+    found = found[0] if len(found) == 1 else found[0].unionByName(found[1])
     parts = partitions(docs, int(shipped))
-    rows = found.select("id", "keys", "grams", F.inline("places")).repartition(parts, "place").sortWithinPartitions("place")
+    rows = found.select("id", "units", "grams", F.inline("places")).repartition(parts, "place").sortWithinPartitions("place")
     return alike.select("rep", "copies"), same, _search(rows, threshold, summary)
 
 

@@ -188,6 +188,18 @@ def test_ngram_join_repeated_ids_and_nothing(spark):
     assert ngram_join.one_of_each_group(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_short_texts_that_just_reach_the_threshold_are_all_linked(spark):
+    rows = [(2 * k + more, f"a{k} b{k} c{k}" + f" d{k}" * more) for k in range(3000) for more in (0, 1)]
+    got = {(r.doc_id, r.class_id, r.links) for r in ngram_join.linked_documents(docs(spark, rows)).collect()}
+    assert got == {(i, i - i % 2, 1) for i, _ in rows}
+
+
+def test_rows_that_share_an_id_link_by_the_ngrams_of_them_all(spark):
+    rows = [(1, "p q r s"), (1, "t u v w x"), (3, "p q r s"), (4, "t u v w"), (5, "p q r s"), (5, "t u v w"), (5, None), (6, "t u v"), (6, "t u v")]
+    got = {(r.doc_id, r.class_id, r.links) for r in ngram_join.linked_documents(docs(spark, rows)).collect()}
+    assert got == {(1, 1, 1), (3, 1, 1), (4, 1, 2), (5, 1, 3), (6, 1, 1)}
+
+
 def test_one_of_each_group_removes_rows_not_ids(spark):
     y, x = " ".join(f"y{i}" for i in range(30)), " ".join(f"x{i}" for i in range(9))
     rows = [(1, y), (2, y), (2, x), (3, x + " more"), (4, None), (None, y), (5, "single words here"), (5, "single words here")]
