@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from .shared import added, ids_for_join, partitions, stash
-from .textkernel import U, chunks, gram_hashes, mix, string_buffers, word_bounds, word_hashes
+from .textkernel import U, chunks, gram_hashes, mix, string_buffers, thrifty, word_bounds, word_hashes
 
 N = 3
 THRESHOLD = 0.5
@@ -52,7 +52,7 @@ GROUPS = 32
 NODE = 16
 BLOCK_BYTES = 32 << 20
 PLACES_BROADCAST = 250_000  # rows of about 100 bytes
-PART_GRAMS = 2_000_000  # n-grams to a part of the shuffles that count them
+PART_GRAMS = 1_000_000  # n-grams to a part of the shuffles that count them
 CLASSES = 2000
 
 
@@ -220,6 +220,7 @@ def _bytes_of(grams: np.ndarray, borders: np.ndarray) -> pa.Array:
 def _signed(docs: DataFrame, n: int) -> DataFrame:
     """(id, size, h1, h2) of each document with words: its set's size and hashes."""
 
+    @thrifty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, grams, borders in _sets(batches, n):
             size = np.diff(borders)
@@ -233,6 +234,7 @@ def _signed(docs: DataFrame, n: int) -> DataFrame:
 def _with_sets(docs: DataFrame, n: int) -> DataFrame:
     """docs with the set of n-grams in the place of the text."""
 
+    @thrifty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, grams, borders in _sets(batches, n):
             cols = [*(rows.column(c) for c in kept), _bytes_of(grams, borders)]
@@ -245,6 +247,7 @@ def _with_sets(docs: DataFrame, n: int) -> DataFrame:
 def _merged(docs: DataFrame, n: int) -> DataFrame:
     """(id, grams): the n-grams of all rows that share an id."""
 
+    @thrifty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, sets in zip(b.column("id").to_pylist(), b.column("sets").to_pylist()):
@@ -290,7 +293,7 @@ def _by_part(batches: Iterator[pa.RecordBatch]) -> dict[int, list[tuple[int, byt
     return out
 
 
-def _pieces(length: int, step: int = 1_000_000) -> list[slice]:
+def _pieces(length: int, step: int = 500_000) -> list[slice]:
     return [slice(k, k + step) for k in range(0, length, step)]
 
 
@@ -306,6 +309,7 @@ def _buckets(docs: list[DataFrame], reps: DataFrame, n: int, threshold: float) -
     parts = max(partitions(reps), -(-total // PART_GRAMS))
     low, share = U(0xFFFFFFFF), threshold / (1 + threshold)
 
+    @thrifty
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -317,7 +321,7 @@ def _buckets(docs: list[DataFrame], reps: DataFrame, n: int, threshold: float) -
         for rows, grams, borders in _sets(batches, n):
             if len(grams):
                 held.append((grams, np.repeat(rows.column("id").to_numpy(), np.diff(borders))))
-            if sum(len(x) for x, _ in held) >= 1_000_000:
+            if sum(len(x) for x, _ in held) >= 500_000:
                 yield flush()
         if held:
             yield flush()
@@ -325,6 +329,7 @@ def _buckets(docs: list[DataFrame], reps: DataFrame, n: int, threshold: float) -
     def home(ids: np.ndarray) -> np.ndarray:
         return (mix(ids.view(U)) % U(parts)).astype(np.int64)
 
+    @thrifty
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, blobs in _by_part(batches).items():
             key, ids = _undealt([x for _, x in blobs], np.uint32, np.int64)
@@ -338,12 +343,14 @@ def _buckets(docs: list[DataFrame], reps: DataFrame, n: int, threshold: float) -
             for at in _pieces(len(ids)):
                 yield _dealt(home(ids[at]), part, key[at], times[at], ids[at])
 
+    @thrifty
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, size = b.column("id").to_numpy(), b.column("size").to_numpy()
             if len(ids):
                 yield _dealt(home(ids), -1, ids, size)
 
+    @thrifty
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for blobs in _by_part(batches).values():
             docs, sizes = _undealt([x for o, x in blobs if o < 0], np.int64, np.int32)
@@ -373,6 +380,7 @@ def _buckets(docs: list[DataFrame], reps: DataFrame, n: int, threshold: float) -
     def may_link(size_a: np.ndarray, place_a: np.ndarray, size_b: np.ndarray, place_b: np.ndarray) -> np.ndarray:
         return np.minimum(size_a - place_a, size_b - place_b) >= share * (size_a + size_b) - 1e-9
 
+    @thrifty
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for blobs in _by_part(batches).values():
             key, ids, size, place = _undealt([x for _, x in blobs], np.uint32, np.int64, np.int32, np.int32)
@@ -411,6 +419,7 @@ def _buckets(docs: list[DataFrame], reps: DataFrame, n: int, threshold: float) -
 def _members(buckets: DataFrame) -> DataFrame:
     """(bucket, least, id): a bucket's documents and the least of them."""
 
+    @thrifty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = [np.frombuffer(x, np.int64) for x in b.column("ids").to_pylist()]
@@ -455,6 +464,7 @@ def _placed(buckets: DataFrame, reps: DataFrame) -> DataFrame:
 def _search(rows: DataFrame, threshold: float, summary: bool) -> DataFrame:
     """Verified pairs of each place; or for ``summary`` (id, links, root) of its linked documents. Rows come sorted by place."""
 
+    @thrifty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         done: list[tuple[np.ndarray, ...]] = []

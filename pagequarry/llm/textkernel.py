@@ -7,8 +7,9 @@ span of words is hashed with two lookups and one multiplication.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,20 @@ class _Powers:
 POWERS = _Powers()
 
 
+def thrifty(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A kernel after which the worker, which lives on for other stages, gives its free memory back."""
+
+    @wraps(run)
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        POWERS.up = POWERS.down = np.ones(1, U)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
+            trim(0)
+
+    return kernel
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
