@@ -10,7 +10,8 @@ and the outcome is exactly that of applying the merges in rank order.
 
 Texts are cut by the tokenizer's own pattern first; cuts at single spaces are
 made before it, as they always are borders of the pattern's pieces. Encoded
-chunks are kept in a bounded per-worker table, which changes speed only.
+chunks are kept in a bounded table for as long as a task lasts, which changes
+speed only: the worker lives on for other stages and keeps the vocabulary alone.
 
 Defined cases: a null text gives null tokens, an empty text an empty list; text
 that holds special tokens' strings is ordinary text; equal texts get equal
@@ -22,6 +23,7 @@ outside the vocabulary are decoded to null.
 from __future__ import annotations
 
 import base64
+import gc
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType
 
 from .shared import added
-from .textkernel import chunks
+from .textkernel import chunks, thrifty
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -62,6 +64,10 @@ class _Table(dict):
         self[key] = out
         return out
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
 
 class ByteBPE:
     def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN) -> None:
@@ -196,6 +202,13 @@ class ByteBPE:
                 pass
         return list(chain.from_iterable(map(self.pieces.__getitem__, self.split(text))))
 
+    def forget(self) -> None:
+        """Drops what was kept of the texts; what the vocabulary gives stays."""
+        self.after_space.forget()
+        self.pieces.forget()
+        self.fits.clear()
+        gc.collect()  # freed tuples that Python holds on to keep their whole blocks of memory
+
     def decode_bytes(self, tokens: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, tokens))
 
@@ -224,6 +237,7 @@ def with_tokens(docs: DataFrame, column: str = "tokens", check: str | None = Non
     docs = _without(docs, column, check)
     kinds = [pa.field(column, pa.list_(pa.int32()))] + ([pa.field(check, pa.bool_())] if check else [])
 
+    @thrifty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(vocabulary)
         for b in batches:
@@ -240,6 +254,7 @@ def with_tokens(docs: DataFrame, column: str = "tokens", check: str | None = Non
                 for k in kinds:
                     schema = schema.append(k)
                 yield pa.RecordBatch.from_arrays([*part.columns, *added], schema=schema)
+        bpe.forget()
 
     more = {column: ArrayType(IntegerType())} | ({check: BooleanType()} if check else {})
     return docs.mapInArrow(run, added(docs.schema, **more))

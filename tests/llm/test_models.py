@@ -234,6 +234,18 @@ def test_bpe_cases(spark):
         byte_bpe.with_tokens(d, column="text")
 
 
+def test_bpe_leaves_no_texts_in_workers(spark, sf):
+    def kept(batches):
+        bpe = byte_bpe.load(byte_bpe.VOCABULARY)
+        for b in batches:
+            n = sum(map(len, (bpe.after_space, bpe.after_space.old, bpe.pieces, bpe.pieces.old, bpe.fits)))
+            yield pa.RecordBatch.from_arrays([pa.array([n] * b.num_rows, pa.int64())], ["n"])
+
+    d = spark.read.parquet(f"{sf}/documents.parquet").repartition(8)
+    assert byte_bpe.encode_documents(d).where("exact").count() > 0
+    assert {r.n for r in spark.range(0, 8, 1, 8).mapInArrow(kept, "n long").collect()} == {0}
+
+
 def test_bpe_very_long_text(reference):
     text = "".join(random.Random(5).choices(["word ", "längere ", "12345 ", "\n", "  ", "!?"], k=200_000))
     bpe = byte_bpe.load()
