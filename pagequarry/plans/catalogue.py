@@ -322,8 +322,8 @@ near AS (SELECT a, b, c / (x.n + y.n - c) AS jaccard FROM pairs JOIN n x ON x.do
 
 @_query(f"WITH {_NEAR} SELECT a, b, round(jaccard, 6) AS jaccard FROM near")
 def dedup_content(spark, sf):
-    fps = staged(dedup.fingerprints(_wide(spark, sf, "documents"), "doc_id"), "shingles")
-    return dedup.similar_pairs(fps).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+    pages = _wide(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    return dedup.similar_pairs(pages).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
 @_query(f"""

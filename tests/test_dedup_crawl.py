@@ -196,3 +196,30 @@ def test_uncapped_crawl_from_few_seeds(spark):
     limits = CrawlLimits(depth=1, max_pages=None, max_pages_per_domain=2147483647)
     got = [(r.url, r.depth, r.page_num) for r in deep_crawl(spark, seeds, providers.snapshot_source(raw), limits).orderBy("ord").collect()]
     assert got == brute_crawl(pages, few) and {(d, n) for _, d, n in got} == {(0, 1), (1, 1), *((0, n) for n in range(2, 6))}
+
+
+def test_a_line_that_all_texts_share_makes_no_candidates(spark):
+    rng = random.Random(4)
+    shared = " ".join(f"line{k}" for k in range(60))  # most shingles of a text: by hash order alone these would lead every prefix
+    rows = [(i, " ".join(f"{rng.random()}" for _ in range(30)) + " " + shared) for i in range(400)]
+    rows += [(400 + i, rows[i][1].replace("line59", "other")) for i in range(20)] + [(500, rows[7][1])]
+    pages = spark.createDataFrame(rows, "id long, text string").coalesce(1)
+    marks = D._marks(pages).cache()
+    prefixes = D._prefixes(pages.where("id < 500"), D.THRESHOLD, D._frequent(marks))
+    assert D._candidates(prefixes, D.THRESHOLD).count() < 200  # of 88,410 pairs
+    sets = {i: shingle_set(t) for i, t in rows}
+    want = {(a, b): len(x & y) / len(x | y) for a, x in sets.items() for b, y in sets.items() if a < b}
+    want = {k: j for k, j in want.items() if j >= D.THRESHOLD}
+    got = {(r.a, r.b): r.jaccard for r in D.similar_pairs(pages).collect()}
+    assert got == want and len(want) == 22
+
+
+def test_groups_of_near_sets_in_blocks_lose_no_pair(spark, monkeypatch):
+    base = [f"w{i}" for i in range(150)]
+    rows = [(i, " ".join(base[:i] + [f"x{i}"] + base[i + 1 :])) for i in range(0, 150, 3)]
+    sets = {i: shingle_set(t) for i, t in rows}
+    want = {(a, b) for a, x in sets.items() for b, y in sets.items() if a < b and len(x & y) / len(x | y) >= 0.8}
+    monkeypatch.setattr(D, "_BLOCK", 1000)  # the group has some 7,000 hashes
+    monkeypatch.setattr(D, "_PAIRS_AT_ONCE", 7)
+    got = {(r.a, r.b) for r in D.similar_pairs(spark.createDataFrame(rows, "id long, text string"), 0.8).collect()}
+    assert got == want and len(want) > 300
