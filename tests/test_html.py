@@ -1,4 +1,8 @@
+import duckdb
+
 from pagequarry.functions.html import extract_and_merge, parse, parse_many, parse_page
+from pagequarry.plans import catalogue
+from tests.compare import assert_same
 
 ARTICLE = """<!DOCTYPE html><html lang="EN-gb"><head><title> Head </title><meta name="Description" content=" about "><meta property="og:title" content="Graph">
 <meta property="og:image" content="i.png"><meta name="twitter:card" content="sum"><link rel="canonical" href=" /c "><link rel="shortcut icon" href="/f.ico">
@@ -56,6 +60,21 @@ def test_broken_markup():
     assert p["text"] == "a b c d e f"
 
 
+def test_references_without_semicolon_stay_text():
+    p = parse_page('<title>a &amp; b&amp</title><script type="application/ld+json">{"a": "&amp;&lt"}</script><p title="x">&notit; &lt &copy;&#65;</p><a href="/?a=1&copy=2&amp;d=3">x</a>', "http://e/")
+    assert p["title"] == "a & b&amp" and p["links"] == ["http://e/?a=1&copy=2&d=3"]
+    assert p["text"] == "a & b&amp &notit; &lt ©A x"
+    assert p["structured"]["json_ld"] == ['{"a": "&amp;&lt"}']
+
+
+def test_titles_cut_inside_a_reference_equal_the_sql(spark, tmp_path):
+    rows = [(i, f"http://a/{i}", f"<html><head><title>{t}</title></head><body><p>x</p></body></html>") for i, t in enumerate(("Ly.&amp;&amp;&amp; and&amp", "a&amp;&lt;&amp", "&", "&lt;&gt;"))]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert_same(catalogue.queries()["extract_title"](spark, str(tmp_path)), con, catalogue.oracle_sql()["extract_title"])
+
+
 def test_parse_many_drops_errors_and_blanks(spark):
     rows = [(1, "http://a/", "<p>x</p>", None), (2, "http://b/", "<p>y</p>", "timeout"), (3, "http://c/", "<p> </p>", None), (4, "http://d/", None, None)]
     df = spark.createDataFrame(rows, "ord long, url string, html string, error string")
