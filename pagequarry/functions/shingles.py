@@ -7,6 +7,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from pagequarry.functions.text import SHINGLE_WORDS
 
@@ -50,7 +51,7 @@ class Shingler:
 def pieces(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``PIECE`` bytes of ``column``, a string; a larger text is a piece of its own."""
     for b in batches:
-        at, lengths = 0, np.array(pa.compute.fill_null(pa.compute.binary_length(b.column(column)), 0), np.int64)
+        at, lengths = 0, np.array(pc.fill_null(pc.binary_length(b.column(column)), 0), np.int64)
         while at < b.num_rows:
             n = max(1, int(np.searchsorted(np.cumsum(lengths[at : at + 10_000]), PIECE, "right")))
             yield b.slice(at, n)

@@ -1,5 +1,9 @@
+import gc
+
 import duckdb
+import pyarrow as pa
 
+from pagequarry.functions import html as H
 from pagequarry.functions.html import extract_and_merge, parse, parse_many, parse_page
 from pagequarry.plans import catalogue
 from tests.compare import assert_same
@@ -94,3 +98,22 @@ def test_extract_and_merge_falls_back_to_text(spark):
     df = spark.createDataFrame([("", "<ul><li>a<li>b</ul>"), (None, "")], "html string, text string")
     a, b = [r.structured for r in extract_and_merge(df).collect()]
     assert a.lists == [["a", "b"]] and b.lists == [] and b.open_graph == {}
+
+
+def test_pages_are_parsed_in_pieces():
+    rows = [f"<p>{i} {'x' * 2000}</p>" for i in range(3000)] + [None, "<p>" + "y" * 3_000_000 + "</p>", ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(rows), pa.array(["http://a/"] * len(rows)), pa.array(range(len(rows)))], ["html", "url", "ord"])
+    got = list(H.parsed_batches(iter([batch]), ["ord", "url"], 0))
+    assert len(got) > 6 and max(b.num_rows for b in got) < 600
+    assert [o for b in got for o in b.column("ord").to_pylist()] == list(range(len(rows)))
+    assert [t for b in got for t in b.column("text").to_pylist()] == [parse_page(h, "http://a/")["text"] for h in rows]
+
+
+def test_a_parsed_page_leaves_nothing_to_the_cycle_collector():
+    gc.collect()
+    gc.disable()
+    try:
+        parse_page(ARTICLE, "https://e.com/d/")
+        assert gc.collect() < 10
+    finally:
+        gc.enable()
