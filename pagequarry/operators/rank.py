@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagequarry.functions.shingles import pieces
 from pagequarry.functions.text import chunks, query_tokens, tokens, words
 from pagequarry.schemas import DoubleType, StructField, StructType
 from pagequarry.staging import staged
@@ -122,20 +123,28 @@ def pooled_cosines(chunked: list[list[str] | None], goal: np.ndarray, encoder: E
     return np.divide(v @ goal, size, out=np.zeros(len(v)), where=size > 0)
 
 
+def text_chunks(text: str | None, size: int = 256) -> list[str]:
+    """The same windows as ``chunks`` over a text's words."""
+    w = (text or "").split()
+    return [" ".join(w[i : i + size]) for i in range(0, max(len(w) - size, 0) + 1, size // 2)]
+
+
 def semantic_score(pages: DataFrame, query: str, encoder: Encoder | None = None, text: str = "text") -> DataFrame:
-    """Cosine of the query with each page's pooled chunks, scaled over all pages; zeros without an encoder."""
+    """Cosine of the query with each page's pooled chunks, scaled over all pages; zeros without an encoder.
+
+    The encoder is called for pieces of about 1 MB of text.
+    """
     if encoder is None:
         return pages.withColumn("semantic_score", F.lit(0.0))
     goal = np.asarray(encoder([query]), float)[0]
-    rows = pages.withColumn("__words", F.split(F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"(?U)[\s\x1c-\x1f]+", " ")), " ")).withColumn("__chunks", chunks(F.col("__words"))).drop("__words")
     schema = StructType([*pages.schema.fields, StructField("__cos", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = b.drop_columns(["__chunks"])
-            yield pa.RecordBatch.from_arrays([*keep.columns, pa.array(pooled_cosines(b.column("__chunks").to_pylist(), goal, encoder), pa.float64())], [*keep.schema.names, "__cos"])
+        for b in pieces(batches, text):
+            chunked = [text_chunks(t) for t in b.column(text).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pooled_cosines(chunked, goal, encoder), pa.float64())], schema.names)
 
-    scored = minmax(rows.mapInArrow(run, schema), "__cos", "semantic_score")
+    scored = minmax(pages.mapInArrow(run, schema), "__cos", "semantic_score")
     return scored.withColumn("semantic_score", F.round("semantic_score", 6)).drop("__cos")
 
 

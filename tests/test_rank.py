@@ -75,3 +75,14 @@ def test_max_pool_cosine_minmax(spark):
     assert c[2].c == pytest.approx(1.0)
     flat = R.minmax(spark.createDataFrame([(2.0,), (2.0,)], "x double"), "x")
     assert [r.x for r in flat.collect()] == [0.0, 0.0]
+
+
+def test_encoder_gets_pieces(spark):
+    def encoder(texts):
+        if sum(map(len, texts)) > 3 << 20:
+            raise ValueError("too much at once")
+        return np.array([[t.count("x") + 1.0, 1.0] for t in texts])
+
+    df = spark.range(2000).coalesce(1).select(F.col("id").alias("ord"), F.concat_ws(" ", F.repeat(F.lit("x "), F.col("id").cast("int") % 9), F.array_repeat(F.lit("wordsword"), 600)).alias("text"))
+    scored = R.semantic_score(df, "x", encoder).select("ord", "semantic_score").collect()
+    assert len(scored) == 2000 and max(r.semantic_score for r in scored) == 1.0
