@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -13,39 +12,51 @@ from pagequarry.functions.text import SHINGLE_WORDS
 
 #: Texts are worked on in pieces of so many characters.
 PIECE = 1 << 20
-_P, _M1, _M2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
-_KNOWN_WORDS = 200_000
+_P, _Q, _M1, _M2 = 0x9E3779B97F4A7C15, *(np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
-class _Words(dict):
-    """Hashes of words; begins anew when it has grown too large."""
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * _M1
+    h = (h ^ (h >> np.uint64(27))) * _M2
+    return h ^ (h >> np.uint64(31))
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= _KNOWN_WORDS:
-            self.clear()
-        h = self[word] = int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-        return h
+
+def _powers(of: int, n: int) -> np.ndarray:
+    each = np.full(n, of, np.uint64)
+    each[0] = 1
+    return np.cumprod(each)
 
 
 class Shingler:
     """From lower-case texts to sorted arrays of distinct hashes; a short text is one window, a blank one has none."""
 
     def __init__(self, n: int = SHINGLE_WORDS) -> None:
-        self.n, self.words = n, _Words()
+        self.n, self.up, self.down = n, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+
+    def words(self, text: str) -> np.ndarray:
+        """A hash of each word: a polynomial of its bytes, read off one running sum over the text."""
+        words = text.split()
+        if not words:
+            return np.zeros(0, np.uint64)
+        b = np.frombuffer("\n".join(words).encode("utf-8", "surrogatepass"), np.uint8)
+        if len(b) > len(self.up):
+            self.up, self.down = (_powers(x, 2 * len(b)) for x in (_P, pow(_P, -1, 1 << 64)))
+        ends = np.append(np.flatnonzero(b == 10), len(b))
+        starts = np.append(0, ends[:-1] + 1)
+        total = np.append(np.uint64(0), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * self.up[: len(b)]))
+        return _mixed((total[ends] - total[starts]) * self.down[starts])
 
     def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").split()
-        w = np.fromiter(map(self.words.__getitem__, words), np.uint64, len(words))
+        w = self.words(text or "")
         if not len(w):
             return w
         k = min(self.n, len(w))
         m = len(w) - k + 1
         h = np.full(m, k, np.uint64)
         for i in range(k):
-            h = h * _P + w[i : i + m]
-        h = (h ^ (h >> np.uint64(30))) * _M1
-        h = (h ^ (h >> np.uint64(27))) * _M2
-        return np.unique(h ^ (h >> np.uint64(31)))
+            h = h * _Q + w[i : i + m]
+        h = np.sort(_mixed(h))
+        return h[np.append(True, h[1:] != h[:-1])]
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
