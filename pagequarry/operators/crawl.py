@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pagequarry.functions.html import parse
 from pagequarry.functions.urls import authority, next_page_url, normalize, same_domain
-from pagequarry.operators.dedup import SeenState, filter_duplicates
+from pagequarry.operators.dedup import SeenState, among, kept_ids
 from pagequarry.schemas import PARSED
 from pagequarry.staging import staged
 
@@ -81,24 +81,26 @@ def deep_crawl(spark: SparkSession, urls: list[str] | DataFrame, source: PageSou
     if progress:
         progress.start(frontier.count())
     while n < most and not frontier.isEmpty():
-        asked = frontier.select(F.col("ord").alias("__ord"), F.col("url").alias("requested"), "depth", "page_num")
         raw = source(frontier.select("ord", "url"))
         raw = raw.where((F.coalesce("error", F.lit("")) == "") & (F.coalesce("html", F.lit("")) != "")).select("ord", "url", "html")
-        wave = parse(raw, limits.min_text_length).where(F.length("text") > 0)
-        wave = staged(wave.join(asked, F.col("ord") == F.col("__ord")).drop("__ord"), "wave")
-        old = state.content_duplicates(wave).withColumnRenamed("id", "__dup")
-        fresh = wave.join(old, F.col("ord") == F.col("__dup"), "left_anti")
-        unique = filter_duplicates(staged(fresh.withColumnRenamed("url", "final_url"), "fresh"), "ord", limits.similarity_threshold).withColumnRenamed("final_url", "url")
-        kept = staged(unique if limits.max_pages is None else unique.orderBy("ord").limit(limits.max_pages - n), "kept")
-        state.register(kept)
-        results.append(kept.withColumn("__wave", F.lit(len(results))))
+        wave = staged(parse(raw, limits.min_text_length).where(F.length("text") > 0), "wave")
+        # what is decided from here on are ids; the pages stay in the wave's table
+        texts = wave.select("ord", "text")
+        if state.texts is not None:
+            texts = among(texts, state.content_duplicates(wave), "left_anti", "ord")
+        kept = kept_ids(texts, "ord", limits.similarity_threshold).withColumnRenamed("id", "ord")
+        kept = kept if limits.max_pages is None else kept.orderBy("ord").limit(limits.max_pages - n)
+        kept = staged(kept.join(frontier.withColumnRenamed("url", "requested"), "ord"), "kept")
+        pages = wave.join(kept, "ord")
+        state.register_texts(wave.select("ord", "text").join(kept.select("ord"), "ord", "left_semi"))
+        results.append(pages.withColumn("__wave", F.lit(len(results))))
         n += kept.count()
         if progress:
             progress.fetched_many(kept.count())
         if n >= most:
             break
-        frontier = staged(expand(kept, seen, counts, limits), "frontier")
-        seen = staged(seen.unionByName(frontier.select("url")).unionByName(kept.select("url")).distinct(), "seen")
+        frontier = staged(expand(pages, seen, counts, limits), "frontier")
+        seen = staged(seen.unionByName(frontier.select("url")).unionByName(pages.select("url")).distinct(), "seen")
         here = kept.groupBy(authority(F.col("requested")).alias("domain")).agg(F.count("*").alias("pages"))
         counts = staged(here if counts is None else counts.unionByName(here).groupBy("domain").agg(F.sum("pages").alias("pages")), "domains")
         if progress:

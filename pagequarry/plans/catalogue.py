@@ -512,10 +512,17 @@ def expand_pagination(spark, sf):
 
 @_query()
 def deep_crawl(spark, sf):
-    raw = providers.snapshot(spark, f"{sf}/pages.parquet").withColumn("url", U.normalize(F.col("url")))
-    raw = staged(dedup.first_of_each_url(raw, "ord"), "site")
-    seeds = raw.where(U.is_valid(F.col("url"))).select(F.row_number().over(Window.orderBy("ord", "url")).alias("ord"), "url")
-    pages = crawl.deep_crawl(spark, seeds, providers.snapshot_source(raw), crawl.CrawlLimits(depth=1, max_pages=None, max_pages_per_domain=2147483647))
+    # the first page of each url by its place in the files, so the html is only moved to the page that asks for it
+    raw = _t(spark, sf, "pages").select(F.struct("_metadata.file_path", "_metadata.row_index").alias("row"), F.col("page_id").alias("ord"), U.normalize(F.col("url")).alias("url"), "html")
+    site = raw.where(U.is_valid(F.col("url"))).groupBy("url").agg(F.min(F.struct("ord", "row")).alias("first"))
+    site = staged(site.select("url", "first.*"), "site")
+    seeds = site.select(F.row_number().over(Window.orderBy("ord", "url")).alias("ord"), "url")
+
+    def source(urls):
+        found = urls.join(site.select("url", "row"), "url", "left").join(raw.select("row", "html"), "row", "left")
+        return found.select("ord", "url", "html", F.when(F.col("row").isNull(), "not in the snapshot").alias("error"))
+
+    pages = crawl.deep_crawl(spark, seeds, source, crawl.CrawlLimits(depth=1, max_pages=None, max_pages_per_domain=2147483647))
     return pages.select("ord", "url", "title", "depth", "page_num")
 
 

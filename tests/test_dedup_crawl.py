@@ -223,3 +223,15 @@ def test_groups_of_near_sets_in_blocks_lose_no_pair(spark, monkeypatch):
     monkeypatch.setattr(D, "_PAIRS_AT_ONCE", 7)
     got = {(r.a, r.b) for r in D.similar_pairs(spark.createDataFrame(rows, "id long, text string"), 0.8).collect()}
     assert got == want and len(want) > 300
+
+
+def test_a_wave_writes_its_texts_once(spark, tmp_path, monkeypatch):
+    pages = {f"http://a/{i}": (" ".join(f"{i}w{k}" for k in range(20)), []) for i in range(6)}
+    rows = [(i, u, html_of(*p)) for i, (u, p) in enumerate(pages.items())]
+    spark.createDataFrame([*rows, (9, "http://a/0", html_of("a later page of the same url", [])), (9, "http://a/0#x", "<p>z</p>")], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    wrote = []
+    for module in (catalogue, catalogue.crawl, D):
+        monkeypatch.setattr(module, "staged", lambda df, name, real=module.staged: wrote.append((name, df.columns)) or real(df, name))
+    got = catalogue.queries()["deep_crawl"](spark, str(tmp_path)).orderBy("ord").collect()
+    assert [r.url for r in got] == list(pages)
+    assert [name for name, columns in wrote if {"text", "html", "fp"} & {*columns}] == ["wave"]
